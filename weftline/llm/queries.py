@@ -7,7 +7,10 @@ from importlib import import_module
 
 #: Query name and the module of this subpackage that holds it under the same name.
 NAMES = {
+    "p4_found": "components",
     "p7_ids": "encode",
+    "p8_mixture": "mixture",
+    "p8_shares": "mixture",
 }
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from weftline.operators import geo
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {"p5_found": geo.p5_found}
 
 
 def oracle_sql() -> dict[str, str]:

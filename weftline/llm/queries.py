@@ -7,6 +7,8 @@ from importlib import import_module
 
 #: Query name and the module of this subpackage that holds it under the same name.
 NAMES = {
+    "p2_found": "survivor",
+    "p2_survivors": "survivor",
     "p4_found": "components",
     "p7_ids": "encode",
     "p8_mixture": "mixture",
@@ -19,4 +21,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from weftline.llm.oracle import SQL
+
+    return dict(SQL)

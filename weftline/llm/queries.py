@@ -9,6 +9,7 @@ from importlib import import_module
 NAMES = {
     "p2_found": "survivor",
     "p2_survivors": "survivor",
+    "p3_found": "addresses",
     "p4_found": "components",
     "p7_ids": "encode",
     "p8_mixture": "mixture",

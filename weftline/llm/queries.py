@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: Query name and the module of this subpackage that holds it under the same name.
 NAMES = {
+    "p1_found": "names",
     "p2_found": "survivor",
     "p2_survivors": "survivor",
     "p3_found": "addresses",

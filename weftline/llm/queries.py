@@ -12,6 +12,8 @@ NAMES = {
     "p2_survivors": "survivor",
     "p3_found": "addresses",
     "p4_found": "components",
+    "p6_found": "entities",
+    "p6_matches": "entities",
     "p7_ids": "encode",
     "p8_mixture": "mixture",
     "p8_shares": "mixture",

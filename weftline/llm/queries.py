@@ -15,6 +15,9 @@ NAMES = {
     "p6_found": "entities",
     "p6_matches": "entities",
     "p7_ids": "encode",
+    "p9_found": "abuse",
+    "p9_scores": "abuse",
+    "p9_rates": "abuse",
     "p8_mixture": "mixture",
     "p8_shares": "mixture",
 }

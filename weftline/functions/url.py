@@ -108,7 +108,7 @@ def media_type(header: Column) -> Column:
 def retry_after_seconds(header: Column, most: int = 86_400, clamp: bool = True) -> Column:
     """Seconds of a numeric retry-after header, at most ``most`` (or null above it); null for anything else."""
     n = F.when(F.trim(header).rlike(r"\A[0-9]{1,9}\z"), F.trim(header).cast("long"))
-    return F.least(n, F.lit(most)) if clamp else F.when(n <= most, n)
+    return F.when(n > most, F.lit(most)).otherwise(n) if clamp else F.when(n <= most, n)
 
 
 def status_outcome(status: Column) -> Column:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from weftline.operators import geo
+from weftline.plans import records, resolution, scans
 
 
 def queries() -> dict[str, Callable]:
-    return {"p5_found": geo.p5_found}
+    """Every query of the core by name."""
+    return {"p5_found": geo.p5_found} | resolution.QUERIES | records.QUERIES | scans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The SQL of those queries that SQL can express."""
+    return resolution.SQL | records.SQL | scans.SQL

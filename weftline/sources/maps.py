@@ -114,7 +114,7 @@ def parse_boundaries(files: DataFrame, content: str = "content") -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            read = pd.DataFrame([read_boundary(bytes(c or b"")) for c in pdf[content]], columns=names).astype({"positions": "Int32"})
+            read = pd.DataFrame([read_boundary(bytes(c or b"")) for c in pdf[content]], columns=names, dtype=object).astype({"positions": "Int32"})
             yield pd.concat([pdf[[f.name for f in keep]].reset_index(drop=True), read], axis=1)
 
     return files.mapInPandas(run, schema)

@@ -152,7 +152,7 @@ def parse_seed_files(files: DataFrame, max_bytes: int = MAX_BYTES, max_records:
         for pdf in frames:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 rows = read_seed_file(path, bytes(content or b""), path.rsplit(".", 1)[-1].lower(), max_bytes, max_records)
-                yield pd.DataFrame(rows, columns=_COLUMNS).astype({"row_number": "Int32"})
+                yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object).astype({"row_number": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 

@@ -193,7 +193,8 @@ def area_triangles(areas: DataFrame, key: str = "area_key", coordinates: str = "
         names = ["area", "x1", "y1", "x2", "y2", "x3", "y3"]
         for pdf in frames:
             rows = [(area, *a, *b, *c) for area, polygons in zip(pdf["area"], pdf["polygons"], strict=True) for polygon in polygons if polygon is not None for a, b, c in ear_clip(polygon)]
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return once.mapInPandas(run, _TRIANGLE_SCHEMA)
 
@@ -287,7 +288,8 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: str = "area_key",
             tree = TriangleTree(corners)
             for pdf in frames:
                 who, which = tree.hits(pdf["px"].to_numpy(np.int64), pdf["py"].to_numpy(np.int64))
-                yield pd.DataFrame({"key": pdf["key"].to_numpy()[who], "area": [names[t] for t in which]}).drop_duplicates()
+                if len(who):
+                    yield pd.DataFrame({"key": pdf["key"].to_numpy()[who], "area": [names[t] for t in which]}).drop_duplicates()
 
         return scaled.mapInPandas(look_up, "key string, area string").distinct()
     return _by_tile(scaled, triangles)

@@ -31,7 +31,7 @@ def map_elements(spark, sf_dir):
     node = F.struct(F.lit("node").alias("type"), F.lit(7).alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.create_map(F.lit("name"), F.coalesce(F.array_join("names", ";"), F.lit(""))).alias("tags"))
     body = F.to_json(F.struct(F.lit("0.6").alias("version"), F.array(node).alias("elements")))
     rows = maps.parse_map_elements(c.select("candidate_id", body.alias("body")))
-    return rows.select("candidate_id", "type", "latitude", "longitude", F.try_element_at("tags", F.lit("name")).alias("name"), "source_url", "issue")
+    return rows.select("candidate_id", F.col("element_type").alias("type"), "latitude", "longitude", F.try_element_at("tags", F.lit("name")).alias("name"), "source_url", "issue")
 
 
 def boundary_scan(spark, sf_dir):

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +81,8 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     spark = df.sparkSession
     n = max(parallelism(spark), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols) if cols else df.repartition(n)
+
+
+def as_frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    """Rows with optional keys as a frame of plain objects: what is missing is None, never NaN."""
+    return pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)

@@ -11,15 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.runtime import as_frame
 from weftline.sources.seeds import strict_json
 
 _ROOT = {"version", "generator", "osm3s", "elements", "remark"}
 _ELEMENT = "type string, id long, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>"
+_OUT = ("base_time", "position", "element_type", "osm_id", "lat", "lon", "center", "latitude", "longitude", "tags", "address", "source_url", "issue")
 MAX_POSITIONS = 100_000
 
 
 def parse_map_elements(responses: DataFrame, body: str = "body") -> DataFrame:
-    """One row per element of map API responses (JSON texts): type, id, position, tags and address.
+    """One row per element of map API responses (JSON texts): type, id, position, tags and address; their other columns stay.
 
     Ways and relations use their center. Everything is read by the JSON reader of the JVM with an explicit schema.
     ``issue`` says why an element or a whole response is refused; its other columns are then null as far as they were
@@ -28,17 +30,17 @@ def parse_map_elements(responses: DataFrame, body: str = "body") -> DataFrame:
     keys = F.json_object_keys(body)
     doc = F.from_json(body, f"generator string, osm3s struct<timestamp_osm_base:string>, elements array<struct<{', '.join(x.replace(' ', ':', 1) for x in _split(_ELEMENT))}>>", {"mode": "PERMISSIVE"})
     rows = responses.withColumn("_d", doc).withColumn("_bad", F.when(keys.isNull(), "JSON_INVALID").when(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in sorted(_ROOT)]))) > 0, "ROOT_FIELD_UNKNOWN").when(F.col("_d.elements").isNull(), "ELEMENTS_INVALID"))
-    keep = [c for c in responses.columns if c != body]
-    good = rows.filter("_bad is null").select(*keep, F.try_to_timestamp(F.col("_d.osm3s.timestamp_osm_base")).alias("base_time"), F.posexplode("_d.elements").alias("position", "e")).select(*keep, "base_time", "position", "e.*")
-    lat = F.when(F.col("type") == "node", F.col("lat")).otherwise(F.col("center.lat"))
-    lon = F.when(F.col("type") == "node", F.col("lon")).otherwise(F.col("center.lon"))
+    keep = [c for c in responses.columns if c not in (body, *_OUT)]
+    good = rows.filter("_bad is null").select(*keep, F.try_to_timestamp(F.col("_d.osm3s.timestamp_osm_base")).alias("base_time"), F.posexplode("_d.elements").alias("position", "e")).select(*keep, "base_time", "position", F.col("e.type").alias("element_type"), F.col("e.id").alias("osm_id"), "e.lat", "e.lon", "e.center", "e.tags")
+    lat = F.when(F.col("element_type") == "node", F.col("lat")).otherwise(F.col("center.lat"))
+    lon = F.when(F.col("element_type") == "node", F.col("lon")).otherwise(F.col("center.lon"))
     issue = (
-        F.when(~F.coalesce(F.col("type").isin("node", "way", "relation"), F.lit(False)), "ELEMENT_TYPE_INVALID").when(~F.coalesce(F.col("id") > 0, F.lit(False)), "ELEMENT_ID_INVALID")
+        F.when(~F.coalesce(F.col("element_type").isin("node", "way", "relation"), F.lit(False)), "ELEMENT_TYPE_INVALID").when(~F.coalesce(F.col("osm_id") > 0, F.lit(False)), "ELEMENT_ID_INVALID")
         .when(~F.coalesce((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.lit(False)), "ELEMENT_POSITION_INVALID")
     )
     tag = lambda k: F.try_element_at(F.col("tags"), F.lit(k))
     address = F.struct(*[tag(f"addr:{k}").alias(n) for k, n in (("housenumber", "house_number"), ("street", "street"), ("postcode", "postcode"), ("city", "city"), ("country", "country"))])
-    out = good.select(*keep, "base_time", "position", "type", "id", lat.alias("latitude"), lon.alias("longitude"), "tags", address.alias("address"), F.concat_ws("/", F.lit("https://www.openstreetmap.org"), "type", "id").alias("source_url"), issue.alias("issue"))
+    out = good.select(*keep, "base_time", "position", "element_type", "osm_id", lat.alias("latitude"), lon.alias("longitude"), "tags", address.alias("address"), F.concat_ws("/", F.lit("https://www.openstreetmap.org"), "element_type", "osm_id").alias("source_url"), issue.alias("issue"))
     bad = rows.filter("_bad is not null").select(*keep, *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns if c not in keep and c != "issue"], F.col("_bad").alias("issue"))
     return out.unionByName(bad)
 
@@ -109,12 +111,14 @@ def read_boundary(body: bytes) -> dict:
 def parse_boundaries(files: DataFrame, content: str = "content") -> DataFrame:
     """Boundaries of GeoJSON files with their digest and coordinates; ``issue`` is set where a file is refused."""
     names = ["geometry_type", "geometry_digest", "canonical", "positions", "coordinates", "issue"]
-    keep = [f for f in files.schema.fields if f.name != content]
+    keep = [f for f in files.schema.fields if f.name not in (content, *names)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "geometry_type string", "geometry_digest string", "canonical string", "positions int", "coordinates array<array<array<array<double>>>>", "issue string"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            read = pd.DataFrame([read_boundary(bytes(c or b"")) for c in pdf[content]], columns=names, dtype=object).astype({"positions": "Int32"})
+            if not len(pdf):
+                continue
+            read = as_frame([read_boundary(bytes(c or b"")) for c in pdf[content]], names)
             yield pd.concat([pdf[[f.name for f in keep]].reset_index(drop=True), read], axis=1)
 
     return files.mapInPandas(run, schema)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.runtime import as_frame
+
 # The columns of a seed file in their order.
 HEADER = ("expected_entity_kind", "display_name", "website", "osm_id", "reference_urls", "note", "provenance")
 REQUIRED = ("expected_entity_kind", "display_name", "provenance")
@@ -152,7 +154,8 @@ def parse_seed_files(files: DataFrame, max_bytes: int = MAX_BYTES, max_records:
         for pdf in frames:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 rows = read_seed_file(path, bytes(content or b""), path.rsplit(".", 1)[-1].lower(), max_bytes, max_records)
-                yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object).astype({"row_number": "Int32"})
+                if rows:
+                    yield as_frame(rows, _COLUMNS)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.url import interest, normalize_url, origin
+from weftline.runtime import as_frame
 
 
 def read_robots(url: str, body: bytes, agent: str) -> dict:
@@ -36,7 +37,8 @@ def parse_robots(files: DataFrame, agent: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [{"url": u} | read_robots(u, bytes(c or b""), agent) for u, c in zip(pdf["url"], pdf["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=["url", "allowed", "crawl_delay", "sitemaps", "issue"])
+            if rows:
+                yield as_frame(rows, ["url", "allowed", "crawl_delay", "sitemaps", "issue"])
 
     return files.select("url", "content").mapInPandas(run, "url string, allowed boolean, crawl_delay double, sitemaps array<string>, issue string")
 
@@ -103,7 +105,8 @@ def parse_links(pages: DataFrame, tracking: tuple[str, ...] = ()) -> DataFrame:
                 rows += [(url, "page", v, False, None) for u in links if (v := own(u))]
                 if canonical and (v := own(canonical)):
                     rows.append((url, "page", v, True, None))
-            yield pd.DataFrame(rows, columns=["url", "kind", "link", "canonical", "issue"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["url", "kind", "link", "canonical", "issue"], dtype=object)
 
     return pages.select("url", "content").mapInPandas(run, _LINKS)
 

@@ -180,6 +180,8 @@ def read_sentences(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
+            if not len(pdf):
+                continue
             sents = [[" ".join(s) for s in sentences(tokens(t))] for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "sents": sents})
 
@@ -205,7 +207,8 @@ def _counted(rows: DataFrame, count) -> DataFrame:
             count(pdf, pos, neg)
             if len(pos) + len(neg) > 400_000:
                 yield flush()
-        yield flush()
+        if pos or neg:
+            yield flush()
 
     return rows.mapInPandas(run, "run string, pos double, neg double").groupBy("run").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -329,6 +332,8 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         odds = _odds(sent)
         for pdf in frames:
+            if not len(pdf):
+                continue
             score, passages, length = [], [], []
             for sents in pdf["sents"]:
                 words = " ".join(sents).split()

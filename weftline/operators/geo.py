@@ -308,6 +308,40 @@ def _by_tile(scaled: DataFrame, triangles: DataFrame) -> DataFrame:
     return met.select("key", "area").distinct()
 
 
+def crosses_itself(ring) -> bool:
+    """True if two edges of a ring cross properly; edges are compared along a sweep over x, exact in scaled integers."""
+    points = _clean_ring(ring)
+    edges = sorted(((min(a, b), max(a, b)) for a, b in zip(points, points[1:] + points[:1], strict=True)), key=lambda e: e[0][0])
+    live: list[tuple] = []
+    for a, b in edges:
+        live = [e for e in live if e[1][0] >= a[0]]
+        if any(_crosses(a, b, c, d) for c, d in live if min(a[1], b[1]) <= max(c[1], d[1]) and min(c[1], d[1]) <= max(a[1], b[1])):
+            return True
+        live.append((a, b))
+    return False
+
+
+def invalid_areas(areas: DataFrame, key: str = "area_key", coordinates: str = "coordinates") -> DataFrame:
+    """``area`` and ``issue`` of areas that can't be used: without ring, with an open or crossing one."""
+    once = areas.select(F.col(key).cast("string").alias("area"), F.col(coordinates).alias("polygons"))
+
+    def issue(polygons) -> str | None:
+        rings = [r for p in ([] if polygons is None else polygons) if p is not None for r in p if r is not None]
+        if not rings or any(not _clean_ring(r) for r in rings):
+            return "RING_DEGENERATE" if rings else "EMPTY"
+        if any(list(r[0]) != list(r[-1]) for r in rings):
+            return "RING_OPEN"
+        return "RING_CROSSES_ITSELF" if any(crosses_itself(r) for r in rings) else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(a, i) for a, p in zip(pdf["area"], pdf["polygons"], strict=True) if (i := issue(p))]
+            if rows:
+                yield pd.DataFrame(rows, columns=["area", "issue"])
+
+    return once.mapInPandas(run, "area string, issue string")
+
+
 def area_edges(areas: DataFrame, key: str = "area_key", coordinates: str = "coordinates") -> DataFrame:
     """``area`` and the ends (x1, y1, x2, y2 in degrees) of every edge of every ring, rings closed if they aren't."""
     ring = areas.select(F.col(key).cast("string").alias("area"), F.posexplode(F.flatten(coordinates)).alias("ring", "r")).filter(F.size("r") > 2)

@@ -43,6 +43,8 @@ TOLL_FIRST, TOLL = 1.5, 3.0
 MARK = 8.0
 #: Weight of sentences of reviewed documents against others.
 REVIEWED = 3.0
+#: Share of the marked sentences a run must be in to be part of the model, two of them at least.
+SUPPORT = 1 / 250_000
 #: Least score of a found document, and its chance among unmarked texts of its length.
 LEAST, CHANCE = 6.0, 0.001
 _HEAVY = 0.995
@@ -237,60 +239,79 @@ def first_model(read: DataFrame) -> tuple[dict[str, tuple[float, float]], float,
     return counts, share[1] * sizes.get(True, 0), share[0] * sizes.get(False, 0)
 
 
-def final_model(read: DataFrame, first: tuple) -> tuple[dict[str, tuple[float, float]], float, float]:
-    """Counts of runs in marked and other sentences of all documents.
+def mark_sentences(read: DataFrame, first: tuple) -> DataFrame:
+    """``read`` with the weights ``pos`` and ``neg`` of every sentence as a marked and as another one.
 
-    Runs are counted among marked sentences first; among the others only those runs, and longer ones of which a part
-    leans to marked, are counted, as nothing else can ever score.
+    A sentence is marked by its best segment; none of a document reviewed as clean is, and what a marked
+    document holds beside its marked sentences counts little either way.
     """
-    spark = read.sparkSession
-    sent = spark.sparkContext.broadcast(first)
-
-    def weigh(y, score: float) -> tuple[float, float]:
-        """Weight as marked and as other sentence."""
-        if y == 0:
-            return 0.0, REVIEWED
-        if score >= MARK:
-            return (REVIEWED if y == 1 else 1.0), 0.0
-        return 0.0, (0.3 if y == 1 else 1.0)
-
-    def weighted(pdf: pd.DataFrame, odds: Odds):
-        for y, sents in zip(pdf["y"], pdf["sents"], strict=True):
-            y = None if y is None or y != y else int(y > 0)
-            for s in sents:
-                words = s.split()
-                yield words, *weigh(y, best_segment(odds.scores(words, TOLL_FIRST)))
+    sent = read.sparkSession.sparkContext.broadcast(first)
 
-    def marked(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         odds = _odds(sent)
-        for words, p, n in weighted(pdf, odds):
-            pos["\n"] += p
-            neg["\n"] += n
-            if p:
-                for x in runs(words):
-                    pos[x] += p
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            pos, neg = [], []
+            for y, sents in zip(pdf["y"], pdf["sents"], strict=True):
+                known, bad = y is not None and y == y, y is not None and y == y and y > 0
+                hits = [not (known and not bad) and best_segment(odds.scores(s.split(), TOLL_FIRST)) >= MARK for s in sents]
+                pos.append([(REVIEWED if bad else 1.0) if h else 0.0 for h in hits])
+                neg.append([0.0 if h else 0.3 if bad else REVIEWED if known else 1.0 for h in hits])
+            yield pdf.assign(pos=pos, neg=neg)
 
-    counts = _as_counts(_counted(read, marked).filter("pos >= 2 or run = '\n'"))
-    sizes = counts.pop("\n", (0.0, 0.0))
-    base = (sizes[0] + 0.5) / (sum(sizes) + 1.0)
-    seen = spark.sparkContext.broadcast(counts)
+    return read.select("doc_id", "source", "y", "sents").mapInPandas(run, "doc_id long, source string, y int, sents array<string>, pos array<double>, neg array<double>")
+
+
+def final_model(marked: DataFrame) -> tuple[dict[str, tuple[float, float]], float, float]:
+    """Counts of runs in marked and other sentences of all documents.
 
-    def others(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
-        odds, held = _odds(sent), seen.value
-        for words, _, n in weighted(pdf, odds):
-            if n:
+    Runs are counted among marked sentences first, then those runs among the others, and last, of what only others hold,
+    longer runs with a part that leans to marked: nothing else can ever score. A run must reach a share ``SUPPORT`` of
+    the marked sentences, which bounds the model whatever the size of the corpus.
+    """
+    spark = marked.sparkSession
+
+    def weights(pdf: pd.DataFrame, name: str):
+        for sents, held in zip(pdf["sents"], pdf[name], strict=True):
+            for s, w in zip(sents, held, strict=True):
+                if w:
+                    yield s.split(), w
+
+    def own(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
+        for words, w in weights(pdf, "pos"):
+            for x in runs(words):
+                pos[x] += w
+
+    total = marked.select(*[F.coalesce(F.sum(F.aggregate(c, F.lit(0.0), lambda s, x: s + x)), F.lit(0.0)).alias(c) for c in ("pos", "neg")]).first()
+    sizes = (total["pos"], total["neg"])
+    floor = max(2.0, sizes[0] * SUPPORT)
+    counts = {x: k for x, (k, _) in _as_counts(_counted(marked, own).filter(F.col("pos") >= floor)).items()}
+    base = (sizes[0] + 0.5) / (sum(sizes) + 1.0)
+    seen = spark.sparkContext.broadcast(set(counts))
+
+    def against(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
+        held = seen.value
+        for words, w in weights(pdf, "neg"):
+            for x in runs(words):
+                if x in held:
+                    neg[x] += w
+
+    others = {x: n for x, (_, n) in _as_counts(_counted(marked, against)).items()}
+    both = {x: (k, others.get(x, 0.0)) for x, k in counts.items()}
+    leans = spark.sparkContext.broadcast({x for x, (k, n) in both.items() if x.count(" ") < 2 and (k + PRIOR * base) / (k + n + PRIOR) > 3 * base})
+
+    def beyond(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
+        held, lean = seen.value, leans.value
+        for words, w in weights(pdf, "neg"):
+            if not lean.isdisjoint(words) or not lean.isdisjoint(f"{a} {b}" for a, b in zip(words, words[1:])):
                 for x in runs(words):
-                    if x in held or (" " in x and (x[x.find(" ") + 1 :] in held or x[: x.rfind(" ")] in held)):
-                        neg[x] += n
+                    cut_ = x.find(" ")
+                    if cut_ > 0 and x not in held and (x[cut_ + 1 :] in lean or x[: x.rfind(" ")] in lean):
+                        neg[x] += w
 
-    against = _counted(read, others).filter("neg >= 2").select("run", F.lit(0.0).alias("pos"), "neg")
-    negative = _as_counts(against)
-    both = {x: (k, negative.pop(x, (0.0, 0.0))[1]) for x, (k, _) in counts.items()}
-    leans = {x for x, (k, n) in both.items() if (k + PRIOR * base) / (k + n + PRIOR) > 3 * base}
-    for x, (_, n) in negative.items():
-        if x[x.find(" ") + 1 :] in leans or x[: x.rfind(" ")] in leans:
-            both[x] = (0.0, n)
-    return both, sizes[0], sizes[1]
+    both |= {x: (0.0, n) for x, (_, n) in _as_counts(_counted(marked, beyond).filter(F.col("neg") >= floor)).items()}
+    return both, *sizes
 
 
 _MODELS: dict[int, Odds] = {}
@@ -326,7 +347,8 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``source``, ``score`` (best segment), ``chance`` (of that score in an unmarked text), ``passages`` and ``found``."""
     spark = documents.sparkSession
     read = cut(read_sentences(documents, labels))
-    model = final_model(read, first_model(read))
+    marked = cut(mark_sentences(read, first_model(read)))
+    model = final_model(marked)
     sent = spark.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,7 +365,7 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 length.append(len(words))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "y": pdf["y"], "score": score, "passages": passages, "length": length})
 
-    scored = cut(read.mapInPandas(run, "doc_id long, source string, y int, score double, passages long, length long"))
+    scored = cut(marked.select("doc_id", "source", "y", "sents").mapInPandas(run, "doc_id long, source string, y int, score double, passages long, length long"))
     a, b, scale = gumbel(scored)
     z = (F.col("score") - F.lit(a) - F.lit(b) * F.log(F.greatest("length", F.lit(1)))) / F.lit(scale)
     chance = 1 - F.exp(-F.exp(-z))

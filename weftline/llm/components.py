@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.values import plain_digest, plain_uuid
+from weftline.operators.components import star_labels
 from weftline.runtime import cut
 
 #: Below this many edges left, the core solver takes fewer jobs than further phases; a matter of speed only.
@@ -95,29 +96,6 @@ def _compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     return removed, kept.unionByName(bridges).distinct()
 
 
-def _solve_core(edges: DataFrame) -> DataFrame:
-    """``x`` and its ``label`` for every vertex of the core, by alternating large-star and small-star."""
-    cur = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    before = None
-    while True:
-        # large star: a vertex's greater neighbours go to the smallest of itself and its neighbours
-        arcs = cur.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))))
-        low = arcs.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = arcs.filter("y > x").join(low, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct()
-        # small star: a vertex and its smaller neighbours go to the smallest neighbour
-        down = large.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-        floor = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = down.join(floor, "x").select("m", F.inline(F.array(F.struct(F.col("x").alias("z")), F.struct(F.col("y").alias("z")))))
-        nxt = cut(small.filter("m <> z").select(F.col("m").alias("a"), F.col("z").alias("b")).distinct())
-        mark = nxt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        cur = nxt
-        if mark == before:
-            break
-        before = mark
-    roots = cur.select(F.col("a").alias("x")).distinct()
-    return cur.select(F.col("b").alias("x"), F.col("a").alias("label")).unionByName(roots.select("x", F.col("x").alias("label")))
-
-
 def connected_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``record_id`` and ``group_id`` (the smallest record of its group) of every record with a link to another one."""
     whole = cut(simple_edges(links, a, b))
@@ -139,7 +117,7 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for layer in layers:
         forest = layer if forest is None else forest.unionByName(layer)
     if left:
-        core = _solve_core(edges).filter("x <> label").select(F.col("x").alias("child"), F.col("label").alias("parent"))
+        core = star_labels(edges).filter("x <> label").select(F.col("x").alias("child"), F.col("label").alias("parent"))
         forest = core if forest is None else forest.unionByName(core)
     if forest is None:
         return whole.select(F.col("u").alias("record_id"), F.col("v").alias("group_id"))

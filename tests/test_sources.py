@@ -104,3 +104,13 @@ def test_extraction(spark):
     out = extract_pages(df)
     assert {r.record_id: r.issue for r in out.filter("issue is not null").collect()} == {"r2": "DOCUMENT_EMPTY", "r3": "RAW_DIGEST_MISMATCH", "r4": "DOCUMENT_EMPTY"}
     assert entity_kinds(out).collect()[0].entity_kinds == ["organization", "place"]
+
+
+def test_map_queries_and_features(spark):
+    plan = maps.plan_map_queries([(0.0, -0.0), (1.5, 2.0)], ["node", "way"], [(f"k{n}", ["a.b", "c"]) for n in range(3)], 2)
+    assert [p["position"] for p in plan] == [0, 1] and plan[1]["query"] == '[out:json][timeout:60];(node["k2"~"^(?:a\\.b|c)$"](poly:"0 0 1.5 2");way["k2"~"^(?:a\\.b|c)$"](poly:"0 0 1.5 2"););out body center qt;'
+    texts = spark.createDataFrame([(1.5,), (-0.0,), (0.12345678,)], "v double").select(maps.coordinate_text(F.col("v")).alias("t")).collect()
+    assert [r.t for r in texts] == ["1.5", "0", "0.1234568"]
+    docs = ['{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[]}},{"type":"Feature","geometry":null}]}', '{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]}}', '{"type":"MultiPolygon","coordinates":[]}']
+    df = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "id int, content string")
+    assert [(r.id, r.position, r.type) for r in maps.feature_geometries(df).orderBy("id", "position").collect()] == [(0, 0, "Polygon"), (0, 1, None), (1, 0, "Point"), (2, 0, "MultiPolygon")]

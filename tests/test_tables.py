@@ -92,3 +92,23 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(times, "t timestamp, c string").write.parquet(str(tmp_path / "ev"))
     ev = spark.readStream.schema("t timestamp, c string").parquet(str(tmp_path / "ev"))
     assert events.run_to_end(events.once(ev, "t", ["c"], "1 day"), "weftline_first", str(tmp_path / "cp2")).count() == 2
+
+
+def test_candidates_from_observations(spark):
+    from weftline.operators import candidates
+
+    address = "struct<street_address:string,postal_code:string,locality:string,region:string,country_code:string,free_form:string>"
+    none = (None,) * 6
+    rows = [("r", "display_name", "observed", (" Alpha  Studio ", none)), ("r", "display_name", "observed", ("alpha studio", none)), ("r", "email", "observed", ("A@B.example", none)), ("r", "phone", "invalid", ("1", none)), ("r", "address", "observed", (None, ("X 1", "123", None, "", "DE", None))), ("q", "phone", "observed", ("n/a", none)), (None, "phone", "observed", ("1", none))]
+    rows += [("bulk", "phone", "observed", (f"+49{k:06d}", none)) for k in range(70)]
+    df = spark.createDataFrame(rows, f"source_record_id string, field_key string, state string, value struct<text:string,address:{address}>")
+    made, large = candidates.build_candidates(df)
+    got = {r.record_id: (r.names, r.emails, r.addresses, r.phones) for r in made.collect()}
+    assert got == {"r": (["alpha studio"], ["a@b.example"], ["x 1, 123, de"], [])} and [(r.record_id, r.n) for r in large.collect()] == [("bulk", 70)]
+
+
+def test_scores_and_routes(spark):
+    df = spark.createDataFrame([("Boundary GeoJSON", "a"), (None, None)], "t string, k string")
+    assert [r.s for r in df.select(tables.keyword_score(F.col("t"), {"boundary": 120, "geojson": 80, "archive": -40}).alias("s")).collect()] == [200, 0]
+    rules = spark.createDataFrame([("a", "next"), (None, "none")], "k string, to string")
+    assert sorted(r.to for r in tables.route(df.unionByName(spark.createDataFrame([("x", "zz")], df.schema)), rules, ["k"], {"to": "blocked"}).collect()) == ["blocked", "next", "none"]

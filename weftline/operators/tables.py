@@ -113,3 +113,18 @@ def decode_cursor(cursor: Column, schema: str) -> Column:
     """The struct of a cursor; null if it isn't one."""
     pad = F.rpad(F.translate(cursor, "-_", "+/"), (F.ceil(F.length(cursor) / 4) * 4).cast("int"), F.lit("="))
     return F.from_json(F.decode(F.try_to_binary(pad, F.lit("base64")), "UTF-8"), schema)
+
+
+def keyword_score(text: Column, points: dict[str, int]) -> Column:
+    """The sum of the points of all words that occur in a text, whatever its case; 0 for null."""
+    low = F.coalesce(F.lower(text), F.lit(""))
+    return sum((F.when(low.contains(word), n).otherwise(0) for word, n in points.items()), F.lit(0))
+
+
+def route(df: DataFrame, rules: DataFrame, keys: list[str], otherwise: dict[str, str]) -> DataFrame:
+    """Rows with what a small rule table says for their keys (equal with nulls), or ``otherwise`` where no rule holds."""
+    names = [c for c in rules.columns if c not in keys]
+    told = F.broadcast(rules.select(*[F.col(k).alias(f"_{k}") for k in keys], *names))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = df.join(told, on, "left").drop(*[f"_{k}" for k in keys])
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in otherwise.items()})

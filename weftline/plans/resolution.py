@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import identity
 from weftline.functions.values import plain_digest, plain_uuid
-from weftline.operators import quality, resolve
+from weftline.operators import candidates, quality, resolve
 from weftline.operators.components import star_labels
 from weftline.operators.tables import latest_by
 from weftline.runtime import cut, table
@@ -102,7 +102,27 @@ def cluster_identity(spark, sf_dir):
     return table(spark, sf_dir, "prior_clusters").select("cluster_id", identity.cluster_id(F.col("member_candidate_ids")).alias("computed_id")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (er_block_keys, er_block_pairs, er_pair_features, er_dispositions, er_pair_identity, er_components, er_clusters_constrained, er_blocked_edges, er_lineage, cluster_facts, cluster_issues, cluster_identity)}
+def built_candidates(spark, sf_dir):
+    made, _ = candidates.build_candidates(table(spark, sf_dir, "observations"))
+    return made.select("record_id", *[F.array_join(f, "|").alias(f) for f in ("names", "phones", "emails", "website_urls")])
+
+
+def refused_records(spark, sf_dir):
+    return candidates.build_candidates(table(spark, sf_dir, "observations"), 8)[1].select("record_id", "field", "n")
+
+
+def batch_violations(spark, sf_dir):
+    apart = _decided(spark, sf_dir).filter("disposition in ('manual_separate', 'manual_match')").select("left_candidate_id", "right_candidate_id", "disposition")
+    return candidates.batch_violations(table(spark, sf_dir, "candidates"), apart, table(spark, sf_dir, "prior_clusters")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def snapshot_violations(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    snap = resolve.resolve(parts, t=resolve.Thresholds(candidate_limit=1_000_000))
+    return candidates.snapshot_violations(snap.pairs, snap.clusters, parts)
+
+
+QUERIES = {f.__name__: f for f in (er_block_keys, er_block_pairs, er_pair_features, er_dispositions, er_pair_identity, er_components, er_clusters_constrained, er_blocked_edges, er_lineage, cluster_facts, cluster_issues, cluster_identity, built_candidates, refused_records, batch_violations, snapshot_violations)}
 
 _PARTS = """with c as (select lpad(p_partkey::varchar, 12, '0') as id, p_type || '|' || p_brand as kind, lower(p_name) as name, p_brand as src from part),
 tok as (select id, kind, name, src, list_sort(list_distinct(regexp_extract_all(name, '[a-z0-9]+'))) as t from c),
@@ -118,7 +138,14 @@ last as (select p, arg_max(least(l, r), recorded_at_utc) as l, arg_max(greatest(
 e as (select l, r from last where d in ('auto_match', 'manual_match') and l <> r), g as (select l as x, r as y from e union select r, l from e),
 walk(x, y) using key (x) as (select x, min(least(x, y)) from g group by 1 union select g.x, min(w.y) from g join walk w on w.x = g.y join recurring.walk o on o.x = g.x where w.y < o.y group by 1)"""
 
+_VALUES = """v as (select distinct source_record_id as record_id, case field_key when 'display_name' then 'names' when 'legal_name' then 'names' when 'phone' then 'phones' when 'email' then 'emails' when 'website' then 'website_urls' when 'address' then 'addresses' end as field,
+  coalesce(value.text, nullif(array_to_string(list_filter([value.address.street_address, value.address.postal_code, value.address.locality, value.address.region, value.address.country_code], lambda x: x is not null and x <> ''), ', '), ''), value.address.free_form) as v
+  from observations where state = 'observed' and source_record_id is not null),
+u as (select record_id, field, trim(regexp_replace(v, '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}]+', ' ', 'g')) as v from v where field is not null and v is not null and regexp_matches(v, '[\\p{L}\\p{N}]')
+  and lower(trim(v)) not in ('none','null','nil','nan','n/a','n.a.','na','k. a.','k.a.','keine angabe','keine angaben','unbekannt','nicht bekannt','unknown','not known','tbd','tba','xxx','xx','(leer)','leer','(empty)','empty','ohne','fehlt','missing','not available','nicht vorhanden'))"""
+
 SQL = {
+    "refused_records": f"with {_VALUES} select record_id, field, count(distinct case when field in ('names', 'emails', 'addresses') then lower(v) else v end) as n from u group by 1, 2 having n > 8",
     "er_block_keys": """with c as (select distinct candidate_id, entity_kind, names, phones, emails, website_urls, addresses from candidates),
 t as (select candidate_id, entity_kind, p, list_sort(list_distinct(regexp_extract_all(v, '[a-z0-9]+'))) as t from
   (select candidate_id, entity_kind, 'name' as p, unnest(names) as v from c union all select candidate_id, entity_kind, 'address', unnest(addresses) from c) where v is not null)

@@ -129,3 +129,42 @@ def envelope(areas: DataFrame, key: str = "area_key", coordinates: str = "coordi
     point = areas.select(key, F.explode(F.flatten(F.flatten(coordinates))).alias("p"))
     lon, lat = F.get("p", F.lit(0)), F.get("p", F.lit(1))
     return point.groupBy(key).agg(F.min(lon).alias("min_lon"), F.min(lat).alias("min_lat"), F.max(lon).alias("max_lon"), F.max(lat).alias("max_lat"))
+
+
+def coordinate_text(value) -> object:
+    """A coordinate column with up to seven decimals, without closing zeros; minus zero is zero."""
+    text = F.regexp_replace(F.format_string("%.7f", value.cast("double")), r"\.?0+$", "")
+    return F.when(text.isin("-0", ""), "0").otherwise(text)
+
+
+def map_query(polygon: list[tuple[float, float]], types: list[str], filters: list[tuple[str, list[str]]], seconds: int = 60) -> str:
+    """The text of a map API query for elements of some types with tags of some values inside a polygon of (lat, lon)."""
+    import re
+
+    shown = [f"{v:.7f}".rstrip("0").rstrip(".") for p in polygon for v in p]
+    inside = " ".join("0" if s in ("-0", "") else s for s in shown)
+    wanted = "".join(f'{t}["{key}"~"^(?:{"|".join(map(re.escape, values))})$"](poly:"{inside}");' for t in types for key, values in filters)
+    return f"[out:json][timeout:{seconds}];({wanted});out body center qt;"
+
+
+def plan_map_queries(polygon: list[tuple[float, float]], types: list[str], filters: list[tuple[str, list[str]]], per_query: int = 10, most: int = 100) -> list[dict]:
+    """Queries of at most ``per_query`` filters each, with position and digest; ValueError if there would be more than ``most``."""
+    if not filters or not 1 <= per_query <= 20:
+        raise ValueError("a plan needs filters, 1 to 20 a query")
+    parts = [filters[k : k + per_query] for k in range(0, len(filters), per_query)]
+    if len(parts) > most:
+        raise ValueError(f"{len(parts)} queries, {most} allowed")
+    texts = [map_query(polygon, types, part) for part in parts]
+    return [{"position": k, "query": t, "digest": "sha256:" + sha256(t.encode()).hexdigest()} for k, t in enumerate(texts)]
+
+
+def feature_geometries(files: DataFrame, content: str = "content") -> DataFrame:
+    """One row per geometry of GeoJSON texts: collections and features are flattened, a bare geometry is itself.
+
+    ``position`` counts within the file; ``type`` and ``geometry`` (JSON) are null where a feature has none.
+    """
+    doc = F.try_parse_json(F.col(content).cast("string"))
+    kind = F.try_variant_get(doc, "$.type", "string")
+    items = F.when(kind == "FeatureCollection", F.transform(F.try_variant_get(doc, "$.features", "array<variant>"), lambda f: F.try_variant_get(f, "$.geometry", "variant"))).when(kind == "Feature", F.array(F.try_variant_get(doc, "$.geometry", "variant"))).otherwise(F.array(doc))
+    rows = files.select(*[c for c in files.columns if c not in (content, "position", "type", "geometry")], F.posexplode_outer(items).alias("position", "g"))
+    return rows.withColumn("type", F.try_variant_get("g", "$.type", "string")).withColumn("geometry", F.to_json("g")).drop("g")

@@ -2,7 +2,7 @@
 
 Texts are folded (width, marks, look-alikes, letters spelt out with signs between them, digits in words) and read as
 tokens. The model gives every run of one to three tokens the log-odds of standing in marked rather than in other texts,
-with a hierarchical Dirichlet prior: a run is drawn towards its more telling part, a single token towards the base
+with a hierarchical Dirichlet prior: a run is drawn towards its parts, a single token towards the base
 rate or, if it is a word of the list below, towards marked. A first model is fitted on reviewed documents; it marks
 sentences of the whole corpus, and the final model is fitted on those, so that phrases of unreviewed documents count
 and the harmless sentences beside a marked one don't. Each document is then scanned in linear time for all maximal
@@ -41,12 +41,14 @@ PRIOR = 2.0
 TOLL_FIRST, TOLL = 1.5, 3.0
 #: Segment score from which the first model marks a sentence.
 MARK = 8.0
+#: Score from which an unreviewed sentence with a listed word is left out of both counts.
+DOUBT = 3.0
 #: Weight of sentences of reviewed documents against others.
 REVIEWED = 3.0
 #: Share of the marked sentences a run must be in to be part of the model, two of them at least.
 SUPPORT = 1 / 250_000
 #: Least score of a found document, and its chance among unmarked texts of its length.
-LEAST, CHANCE = 6.0, 0.001
+LEAST, CHANCE = 7.0, 0.001
 _HEAVY = 0.995
 
 # Words of insult, threat, contempt or explicit sex, in four languages.
@@ -109,10 +111,15 @@ def runs(words: list[str]) -> set[str]:
 
 
 class Odds:
-    """Log-odds of runs, from their counts in marked and other texts and the sizes of both."""
+    """Log-odds of runs, from their counts in marked and other texts and the sizes of both.
 
-    def __init__(self, counts: dict[str, tuple[float, float]], marked: float, other: float) -> None:
+    A run is drawn towards the more telling of its two parts, or with ``even`` towards log-odds to which the other part adds a
+    quarter, so that one telling word among names counts less; the first suits few texts, the second many.
+    """
+
+    def __init__(self, counts: dict[str, tuple[float, float]], marked: float, other: float, even: bool = False) -> None:
         self.counts = counts
+        self.even = even
         self.base = (marked + 0.5) / (marked + other + 1.0)
         self.shift = math.log(self.base / (1 - self.base))
         self.known: dict[str, float] = {}
@@ -122,9 +129,15 @@ class Odds:
         p = self.known.get(run)
         if p is None:
             cut_ = run.find(" ")
-            prior = (0.85 if run in _LISTED else self.base) if cut_ < 0 else max(self.chance(run[cut_ + 1 :]), self.chance(run[: run.rfind(" ")]))
+            if cut_ < 0:
+                prior = 0.85 if run in _LISTED else self.base
+            else:
+                a, b = self.chance(run[cut_ + 1 :]), self.chance(run[: run.rfind(" ")])
+                hi, lo = max(a, b), min(a, b)
+                odds = (hi / (1 - hi)) ** 0.75 * (lo / (1 - lo)) ** 0.25
+                prior = odds / (1 + odds) if self.even else hi
             k, m = self.counts.get(run, (0.0, 0.0))
-            p = (k + PRIOR * prior) / (k + m + PRIOR)
+            p = min(1 - 1e-6, max(1e-6, (k + PRIOR * prior) / (k + m + PRIOR)))
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[run] = p
@@ -243,7 +256,8 @@ def mark_sentences(read: DataFrame, first: tuple) -> DataFrame:
     """``read`` with the weights ``pos`` and ``neg`` of every sentence as a marked and as another one.
 
     A sentence is marked by its best segment; none of a document reviewed as clean is, and what a marked
-    document holds beside its marked sentences counts little either way.
+    document holds beside its marked sentences counts little either way. A sentence with a listed word that falls
+    just short of the mark counts as neither.
     """
     sent = read.sparkSession.sparkContext.broadcast(first)
 
@@ -255,9 +269,9 @@ def mark_sentences(read: DataFrame, first: tuple) -> DataFrame:
             pos, neg = [], []
             for y, sents in zip(pdf["y"], pdf["sents"], strict=True):
                 known, bad = y is not None and y == y, y is not None and y == y and y > 0
-                hits = [not (known and not bad) and best_segment(odds.scores(s.split(), TOLL_FIRST)) >= MARK for s in sents]
-                pos.append([(REVIEWED if bad else 1.0) if h else 0.0 for h in hits])
-                neg.append([0.0 if h else 0.3 if bad else REVIEWED if known else 1.0 for h in hits])
+                scores = [0.0 if known and not bad else best_segment(odds.scores(s.split(), TOLL_FIRST)) for s in sents]
+                pos.append([(REVIEWED if bad else 1.0) if x >= MARK else 0.0 for x in scores])
+                neg.append([0.0 if x >= MARK or not known and x >= DOUBT and not _LISTED.isdisjoint(s.split()) else 0.3 if bad else REVIEWED if known else 1.0 for x, s in zip(scores, sents, strict=True)])
             yield pdf.assign(pos=pos, neg=neg)
 
     return read.select("doc_id", "source", "y", "sents").mapInPandas(run, "doc_id long, source string, y int, sents array<string>, pos array<double>, neg array<double>")
@@ -348,7 +362,7 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     read = cut(read_sentences(documents, labels))
     marked = cut(mark_sentences(read, first_model(read)))
-    model = final_model(marked)
+    model = (*final_model(marked), True)
     sent = spark.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -71,24 +72,18 @@ def tokens(text: str) -> list[str]:
     text = fold(text)
     text = _SPELT.sub(lambda m: re.sub(r"[^\w]|_", "", m[0]), text)
     text = _APART.sub(lambda m: m[0].replace(" ", ""), text)
-    out: list[str] = []
-    known: dict[str, str] = {}
-    for w in _TOKEN.findall(text):
-        t = known.get(w)
-        if t is None:
-            if w in ".!?\n":
-                t = "."
-            elif w == ":":
-                t = ":"
-            elif w in "„“”«»\"":
-                t = '"'
-            elif _NUMBER.fullmatch(w):
-                t = "0"
-            else:
-                t = skeleton(w.replace("-", "")) or "*"
-            known[w] = t
-        out.append(t)
-    return out
+    return [_token(w) for w in _TOKEN.findall(text)]
+
+
+@lru_cache(maxsize=200_000)
+def _token(w: str) -> str:
+    if w in ".!?\n":
+        return "."
+    if w == ":":
+        return ":"
+    if w in "„“”«»\"":
+        return '"'
+    return "0" if _NUMBER.fullmatch(w) else skeleton(w.replace("-", "")) or "*"
 
 
 def sentences(words: list[str]) -> list[list[str]]:
@@ -305,11 +300,21 @@ def final_model(marked: DataFrame) -> tuple[dict[str, tuple[float, float]], floa
     seen = spark.sparkContext.broadcast(set(counts))
 
     def against(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
-        held = seen.value
+        held = seen.value  # whatever is held, its parts are held too, but for the mark of the beginning
         for words, w in weights(pdf, "neg"):
-            for x in runs(words):
-                if x in held:
-                    neg[x] += w
+            met, last = set(), ". ."
+            for a, b, c in zip([".", ".", *words], [".", *words], words):
+                pair = f"{b} {c}" if c in held and b in held else ""
+                pair = pair if pair in held else ""
+                if c in held:
+                    met.add(c)
+                if pair:
+                    met.add(pair)
+                    if last and (triple := f"{a} {pair}") in held:
+                        met.add(triple)
+                last = pair
+            for x in met:
+                neg[x] += w
 
     others = {x: n for x, (_, n) in _as_counts(_counted(marked, against)).items()}
     both = {x: (k, others.get(x, 0.0)) for x, k in counts.items()}
@@ -318,11 +323,17 @@ def final_model(marked: DataFrame) -> tuple[dict[str, tuple[float, float]], floa
     def beyond(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
         held, lean = seen.value, leans.value
         for words, w in weights(pdf, "neg"):
-            if not lean.isdisjoint(words) or not lean.isdisjoint(f"{a} {b}" for a, b in zip(words, words[1:])):
-                for x in runs(words):
-                    cut_ = x.find(" ")
-                    if cut_ > 0 and x not in held and (x[cut_ + 1 :] in lean or x[: x.rfind(" ")] in lean):
-                        neg[x] += w
+            met, last = set(), ". ." in lean
+            for a, b, c in zip([".", ".", *words], [".", *words], words):
+                pair = f"{b} {c}"
+                if (b in lean or c in lean) and pair not in held:
+                    met.add(pair)
+                leans_now = pair in lean
+                if (leans_now or last) and (triple := f"{a} {pair}") not in held:
+                    met.add(triple)
+                last = leans_now
+            for x in met:
+                neg[x] += w
 
     both |= {x: (0.0, n) for x, (_, n) in _as_counts(_counted(marked, beyond).filter(F.col("neg") >= floor)).items()}
     return both, *sizes

@@ -131,3 +131,17 @@ def test_entities(spark):
         by.setdefault(r.entity, set()).add(r.id)
     assert sorted(tuple(sorted(v)) for v in by.values() if len(v) > 1) == [("1", "2", "3"), ("5", "6")]
     assert entities.entity_members(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_very_long_values(spark):
+    long = "badofugeki" * 2_000
+    rows = [("1", [long], ["9" * 20_000 + " " + long], None), ("2", [long], [long + " 8"], None), ("3", [long[1:]], ["a-" * 5_000], None), ("4", ["tonstudio " * 3_000], ["1 " * 9_000], None)]
+    df = spark.createDataFrame(rows, "candidate_id string, names array<string>, addresses array<string>, source_keys array<string>")
+    assert addresses.same_address(df).count() >= 0
+    seeds = spark.createDataFrame([("s", long)], "seed_id string, display_name string")
+    got = {}
+    for r in names.name_entities(names.read_names(names.named_records(seeds, df))).collect():
+        got.setdefault(r.entity, set()).add(r.id)
+    assert {"s", "1", "2"} in [v & {"s", "1", "2"} for v in got.values()]
+    full = df.selectExpr("*", "array(repeat('5', 9000)) as phones", "array(repeat('a', 9000)) as website_urls", "array(repeat('b@', 9000)) as emails")
+    assert entities.entity_members(full).count() >= 0

@@ -66,11 +66,11 @@ def read_addresses(df: DataFrame) -> DataFrame:
     plz = F.nullif(F.regexp_extract("a", r"(?<!\d)(\d{5})(?!\d)", 1), F.lit(""))
     df = _stage(df, plz=plz, a=F.regexp_replace(F.regexp_replace("a", r"(?:\bd\s?-\s?)?(?<!\d)\d{5}(?!\d)", " , "), _UNIT, " , "))
     full, short = _any_kind(False), _any_kind(True)
-    head = rf"([a-z0-9]*[a-z]{{2}}[a-z0-9]*)(?:[\s-]+({full}|(?:{short})(?=\.)))?(?:(\.)\s*|\s+)(?:(?:nr|no|hausnr|haus|hnr)\b\.?\s*)?{_NUMBER}"
+    head = rf"(?<![a-z0-9])(?=[a-z0-9]*[a-z]{{2}})([a-z0-9]++)(?:[\s-]+({full}|(?:{short})(?=\.)))?(?:(\.)\s*|\s+)(?:(?:nr|no|hausnr|haus|hnr)\b\.?\s*)?{_NUMBER}"
     parts = {name: F.regexp_extract("a", head, k) for k, name in enumerate(("word", "apart", "dot", "num"), 1)}
     df = _stage(df, **parts, rest=F.regexp_replace("a", head, " , ")).drop("a")
     tail = F.when(F.col("apart") != "", F.lit("")).when(F.col("dot") == ".", F.regexp_extract("word", rf"[a-z0-9]{{3,}}?({short})$", 1)).otherwise(F.regexp_extract("word", rf"[a-z0-9]{{3,}}?({full})$", 1))
-    words = F.regexp_extract_all("rest", F.lit(r"([a-z0-9]*[a-z]{3}[a-z0-9]*)"), F.lit(1))
+    words = F.regexp_extract_all("rest", F.lit(r"(?<![a-z0-9])(?=[a-z0-9]*[a-z]{3})([a-z0-9]++)"), F.lit(1))
     town = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     df = _stage(df, tail=tail, town=town["w"])
     base = _slips(F.substring(F.col("word"), F.lit(1), F.length("word") - F.length("tail")))

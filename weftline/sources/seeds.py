@@ -152,10 +152,14 @@ def parse_seed_files(files: DataFrame, max_bytes: int = MAX_BYTES, max_records:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
+            rows: list[dict] = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = read_seed_file(path, bytes(content or b""), path.rsplit(".", 1)[-1].lower(), max_bytes, max_records)
-                if rows:
+                rows += read_seed_file(path, bytes(content or b""), path.rsplit(".", 1)[-1].lower(), max_bytes, max_records)
+                if len(rows) > 50_000:
                     yield as_frame(rows, _COLUMNS)
+                    rows = []
+            if rows:
+                yield as_frame(rows, _COLUMNS)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 

@@ -125,3 +125,50 @@ def test_greedy_order(spark):
     snap = resolve.resolve(rows, decision(spark, (1, 3, "separate"), (2, 4, "separate"), (1, 4, "match")))
     groups = sorted(tuple(m[-1] for m in r.member_candidate_ids) for r in snap.clusters.collect())
     assert groups[0][:2] == ("1", "4") and snap.blocked_edges.count() >= 1
+
+
+def greedy(ids, edges, apart):
+    """The ordered union as one loop over all edges."""
+    group = {x: {x} for x in ids}
+    blocked = []
+    for rank, strength, pid, a, b in sorted(edges, key=lambda e: (e[0], -e[1], e[2])):
+        if group[a] is group[b]:
+            continue
+        clash = [identity_of(x, y) for x, y in apart if (x in group[a] and y in group[b]) or (x in group[b] and y in group[a])]
+        if clash:
+            blocked.append((pid, min(clash)))
+            continue
+        both = group[a] | group[b]
+        for x in both:
+            group[x] = both
+    return {x: min(g) for x, g in group.items()}, sorted(blocked)
+
+
+def identity_of(a, b):
+    import hashlib
+    import json
+
+    return "sha256:" + hashlib.sha256(json.dumps(sorted((a, b)), separators=(",", ":")).encode()).hexdigest()
+
+
+def test_constrained_clusters_against_one_loop(spark):
+    for seed in range(4):
+        rnd = random.Random(seed)
+        ids = [cid(n) for n in range(40)]
+        edges, apart = {}, set()
+        for _ in range(45):
+            a, b = sorted(rnd.sample(ids, 2))
+            edges[a, b] = (rnd.randrange(2), rnd.randrange(5), identity_of(a, b), a, b)
+        while len(apart) < 8:
+            a, b = sorted(rnd.sample(ids, 2))
+            if (a, b) not in edges:
+                apart.add((a, b))
+        rows = [(e[2], e[3], e[4], "auto_match" if e[0] else "manual_match", e[1]) for e in edges.values()]
+        resolved = spark.createDataFrame(rows, "pair_id string, left_candidate_id string, right_candidate_id string, disposition string, evidence_strength int")
+        told = spark.createDataFrame([(b, a, "separate") for a, b in apart], "left_candidate_id string, right_candidate_id string, action string")
+        members, blocked = resolve.constrained_clusters(spark.createDataFrame([(x,) for x in ids], "candidate_id string"), resolved, told)
+        want, stopped = greedy(ids, edges.values(), apart)
+        got = {r.candidate_id: r.root for r in members.collect()}
+        groups = lambda m: sorted(sorted(x for x in m if m[x] == r) for r in set(m.values()))
+        assert groups(got) == groups(want)
+        assert sorted((r.attempted_pair_id, r.separation_pair_id) for r in blocked.collect()) == stopped

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from weftline.functions import text, url
 from weftline.functions.values import is_usable
 from weftline.operators import geo, normalize, tables
-from weftline.runtime import table
+from weftline.runtime import ensure_checkpoint_dir, table
 
 STATES = ["observed", "not_observed", "absent_in_source", "invalid", "unsupported", "expired", "disputed", "prohibited_by_policy"]
 
@@ -199,11 +199,16 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("time", F.col("ts").cast("timestamp"))
 
 
+def _fresh(spark):
+    """A new folder for a stream's progress, below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/weftline-stream-{uuid4()}"
+
+
 def stream_windows(spark, sf_dir):
     from weftline.streaming import events
 
     counts = events.windowed_counts(_stream(spark, sf_dir), "time", ["event_type"], "6 hours", "1 day")
-    out = events.run_to_end(counts, "weftline_windows", tempfile.mkdtemp(prefix="weftline-stream-"), "complete")
+    out = events.run_to_end(counts, "weftline_windows", _fresh(spark), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events")
 
 
@@ -211,7 +216,7 @@ def stream_once(spark, sf_dir):
     from weftline.streaming import events
 
     first = events.once(_stream(spark, sf_dir).select("time", "user_id", "event_type"), "time", ["user_id", "event_type"], "10000 days")
-    return events.run_to_end(first, "weftline_once", tempfile.mkdtemp(prefix="weftline-stream-")).select("user_id", "event_type")
+    return events.run_to_end(first, "weftline_once", _fresh(spark)).select("user_id", "event_type")
 
 
 QUERIES = {

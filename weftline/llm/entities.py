@@ -3,7 +3,9 @@
 Every record becomes a profile: readings of its names, of its web hosts and of its mail addresses (core and aspect, see
 ``names``), phone numbers and hosts. Sorted neighbourhoods over several composite keys (core and aspect, aspect and
 reversed core, phone, host, mail) bring profiles near each other; a window slides over each order and compares its
-members by weighted similarities of the fields, which gives a confidence. Between every two sources the matches are
+members by weighted similarities of the fields, which gives a confidence. What a window of fixed size misses where an
+order grows dense is added exactly: readings with cores within the allowed edits by the deletion index of ``names``, and
+readings that share a contact by a join on the contact. Between every two sources the matches are
 then made one-to-one so that the total confidence is greatest; first names or trades that contradict each other veto a match.
 
 Equal keys are merged before sorting: a key many records share has one place in the order, so a window never fills
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.values import is_usable, plain_source_key
-from weftline.llm.names import NICKNAMES, allowed, edits, fold, is_full, read_name, skeleton
+from weftline.llm.names import LONGEST, NICKNAMES, allowed, core_neighbours, deletions, edits, fold, is_full, read_name, skeleton
 from weftline.runtime import cut, parallelism, spread
 
 #: Places of an order that are compared with each other.
 WINDOW = 6
+#: Readings of one contact up to which all are paired; those of a busier one meet by an index of their cores.
+FEW = 32
 #: Confidence from which two records match.
 ACCEPT = 0.5
 #: Weights of the similarities: name, phone, host, mail. A name match alone passes, contacts alone don't.
@@ -215,8 +219,55 @@ def confidence(ca: pd.Series, aa: pd.Series, cb: pd.Series, ab: pd.Series, phone
     return pd.Series([_similar(a, list(x), b, list(y), p, h, m) for a, x, b, y, p, h, m in zip(ca, aa, cb, ab, phone, host, mail, strict=True)], dtype="float64")
 
 
+_FITS = "case when x like '%.' then startswith(y, left(x, length(x) - 1)) when y like '%.' then startswith(x, left(y, length(y) - 1)) else x = y end"
+#: ``_agree`` of the columns aspect_a and aspect_b.
+_AGREES = f"size(aspect_a) = 0 or size(aspect_b) = 0 or exists(aspect_a, x -> exists(aspect_b, y -> {_FITS}))"
+
+
+def near_readings(readings: DataFrame) -> DataFrame:
+    """``a`` < ``b`` of every two readings that agree and whose cores are within the allowed edits, however dense the orders are."""
+    cores = cut(readings.select("core").distinct().withColumn("strong", F.lit(False)))
+    near = core_neighbours(cores).filter("core < other").select("core", "other").unionByName(cores.select("core", F.col("core").alias("other")))
+    side = lambda x, core: readings.select(F.col("rid").alias(x), F.col("core").alias(core), F.col("kind").alias(f"kind_{x}"), F.col("aspect").alias(f"aspect_{x}"))
+    both = near.join(side("a", "core"), "core").join(side("b", "other"), "other")
+    both = both.filter("a <> b and (kind_a = kind_b or kind_a = '?' or kind_b = '?')").filter(_AGREES)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _core_keys(core: str) -> set[str]:
+    """Strings of which two cores share one if they are one edit more apart than allowed, as a shared contact permits."""
+    n = len(core)
+    most = 3 if 8 <= n <= LONGEST + 3 else allowed(n) + 1
+    ends = {"<" + core[:32], ">" + core[-32:]} if n > LONGEST else set()  # one edit leaves an end as it is
+    return ends | (deletions(core, most) if n <= LONGEST + 3 else set())
+
+
+def shared_contacts(held: DataFrame) -> DataFrame:
+    """``a`` < ``b`` and the ``field`` of readings that share a contact: all, or of a busy contact all whose cores can match."""
+    each = None
+    for field in ("phones", "hosts", "mails"):
+        part = held.select("rid", "core", F.lit(field).alias("field"), F.explode(field).alias("v"))
+        each = part if each is None else each.unionByName(part)
+    each = each.distinct()
+    sizes = each.groupBy("field", "v").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    each = cut(each.join(sizes, ["field", "v"]))
+    few, many = each.filter(F.col("k") <= FEW), each.filter(F.col("k") > FEW)
+    rid = lambda df, x, *keys: df.select("field", "v", *keys, F.col("rid").alias(x))
+    pairs = rid(few, "a").join(rid(few, "b"), ["field", "v"]).select("a", "b", "field")
+
+    def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for field, v, core in pdf.itertuples(index=False):
+                yield pd.DataFrame({"field": field, "v": v, "core": core, "cut": list(_core_keys(core))})
+
+    busy = spread(many.select("field", "v", "core").distinct()).mapInPandas(strings, "field string, v string, core string, cut string").withColumn("cut", F.xxhash64("cut"))
+    met = busy.join(busy.withColumnRenamed("core", "other"), ["field", "v", "cut"]).filter("core <= other").select("field", "v", "core", "other").distinct()
+    more = met.join(rid(many, "a", "core"), ["field", "v", "core"]).join(rid(many, "b", F.col("core").alias("other")), ["field", "v", "other"]).select("a", "b", "field")
+    return pairs.unionByName(more).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "field").distinct()
+
+
 def match_readings(held: DataFrame, readings: DataFrame) -> DataFrame:
-    """``rid_a``, ``rid_b``, ``conf`` and ``contact`` (a shared one) of every two readings a window brought together that match."""
+    """``rid_a``, ``rid_b``, ``conf`` and ``contact`` (a shared one) of every two readings that match."""
     text = F.concat_ws("|", "aspect")
     none = F.lit(None).cast("long")
     orders = {
@@ -230,6 +281,9 @@ def match_readings(held: DataFrame, readings: DataFrame) -> DataFrame:
     for name, order in orders.items():
         pairs = slide(order).select("a", "b", *[(F.col("same") & F.lit(name == f)).alias(f) for f in ("phones", "hosts", "mails")])
         met = pairs if met is None else met.unionByName(pairs)
+    fields = ("phones", "hosts", "mails")
+    met = met.unionByName(near_readings(readings).select("a", "b", *[F.lit(False).alias(f) for f in fields]))
+    met = met.unionByName(shared_contacts(held).select("a", "b", *[(F.col("field") == f).alias(f) for f in fields]))
     pairs = met.groupBy("a", "b").agg(*[F.bool_or(f).alias(f) for f in ("phones", "hosts", "mails")])
     side = lambda x: readings.select(F.col("rid").alias(x), F.col("kind").alias(f"kind_{x}"), F.col("core").alias(f"core_{x}"), F.col("aspect").alias(f"aspect_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("kind_a = kind_b or kind_a = '?' or kind_b = '?'")

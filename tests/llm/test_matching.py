@@ -80,6 +80,14 @@ def test_name_entities(spark):
     assert found(spark, [("s1", "x")], [("c1", [])]) == []
 
 
+def test_slips_seen_more_than_once(spark):
+    cands = [(f"a{k}", ["kumkeiruhaf tonstudio"]) for k in range(6)] + [(f"b{k}", ["kumkeiruhof tonstudio"]) for k in range(3)]
+    assert found(spark, [("s", "Kumkeiruhaf Tonstudio")], cands) == [(*sorted(x for x, _ in cands), "s")]
+    # of like support: two names
+    cands = [(f"{x}{k}", [f"{name} tonstudio"]) for x, name in (("a", "kumkeiruhaf"), ("b", "kumkeiruhof")) for k in range(12)]
+    assert len(found(spark, [("s", "Kumkeiruhaf Tonstudio")], cands)) == 2
+
+
 ADDRESSES = {
     "a1": "Wurbrobrostraße 8, 42743 Falkenlitz", "a2": "wurbrobro strasse nr. 8 | D-42743 falkenlitz | Germany", "a3": "wurbrorbostr. 8; falkenlit.", "a4": "42743 falkenlitz, wurbrobrostr 8, 2. OG", "a5": "c/o h. pforte wurbrobrostrasse 8 42743",
     "b1": "wurbrobrostrasse 8a, 42743 falkenlitz", "c1": "wurbrobroplatz 8, 42743 falkenlitz", "d1": "wurbrobrostrasse 8, 88716 mühlow", "e1": "krorgetauweg 67-69, 85750 muehlbrueck", "e2": "krorgetau-weg 67 / 69, mühlbrück", "e3": "krorgetauweg 67, 85750 mühlbrück",

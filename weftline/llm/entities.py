@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.values import is_usable, plain_source_key
-from weftline.llm.names import LONGEST, NICKNAMES, allowed, core_neighbours, deletions, edits, fold, is_full, read_name, skeleton
+from weftline.llm.names import LONGEST, NICKNAMES, allowed, core_neighbours, deletions, edits, fold, is_full, rarer, read_name, skeleton
 from weftline.runtime import cut, parallelism, spread
 
 #: Places of an order that are compared with each other.
@@ -294,14 +294,14 @@ def match_readings(held: DataFrame, readings: DataFrame) -> DataFrame:
 def group_readings(readings: DataFrame, links: DataFrame) -> DataFrame:
     """``rid``, ``entity`` and ``conf``: the leading reading each reading belongs to and how surely.
 
-    A full reading of one record follows the match of most support; two established ones are only joined if they share a
+    A full reading follows the match of most support; two of like support (see ``names.rarer``) are only joined if they share a
     contact. An incomplete reading joins the one entity it matches best, or stays alone if there are several.
     """
     both = links.select(F.inline(F.array(F.struct(F.col("rid_a").alias("rid"), F.col("rid_b").alias("t"), "conf", "contact"), F.struct(F.col("rid_b").alias("rid"), F.col("rid_a").alias("t"), "conf", "contact"))))
     info = readings.select("rid", "full", "n")
     to = info.select(F.col("rid").alias("t"), F.col("full").alias("t_full"), F.col("n").alias("t_n"))
     at = cut(both.join(info, "rid").join(to, "t").filter("t_full"))
-    ahead = at.filter("full and (n < 2 or t_n < 2 or contact) and (t_n > n or (t_n = n and t < rid))")
+    ahead = at.filter(f"full and ({rarer('n', 't_n')} or contact) and (t_n > n or (t_n = n and t < rid))")
     follow = ahead.groupBy("rid").agg(F.max_by(F.struct("t", "conf"), F.struct("conf", "t_n", "t")).alias("f")).select("rid", "f.t", "f.conf")
     hop = cut(info.filter("full").select("rid").join(follow, "rid", "left").select("rid", F.coalesce("t", "rid").alias("t"), F.coalesce("conf", F.lit(1.0)).alias("conf")))
     for _ in range(3):

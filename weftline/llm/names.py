@@ -4,8 +4,8 @@ A name is read into a core (the surname or the coined name of a business) and an
 legal forms, titles, towns and decorations fall away. A symmetric-delete index over the distinct cores finds those a few
 letters apart: two cores within two edits share a string after at most two deletions each. Readings whose cores are
 neighbours are then compared token by token: the best assignment of the tokens of one to those of the other, where an
-initial stands for a first name, an abbreviation for its word and a nickname for its name. Cores seen in several
-records are established and never merged with each other; a core seen once follows the closest one that fits. An
+initial stands for a first name, an abbreviation for its word and a nickname for its name. A core follows the closest
+one that fits and is seen in far more records (see ``rarer``); cores of like support are established names of their own. An
 incomplete reading (initial, no trade, no first name) joins a full one only if exactly one fits.
 
 Everything runs on distinct cores and readings, so copies and hot names don't multiply the comparisons; only the
@@ -354,6 +354,15 @@ def is_full(kind: Column, aspect: Column) -> Column:
     return kind.isin("p", "o") & F.coalesce(F.size(aspect) == 1, F.lit(False)) & ~F.coalesce(F.get(aspect, F.lit(0)).endswith("."), F.lit(False))
 
 
+def rarer(n: str, t_n: str) -> str:
+    """SQL condition: ``n`` records are so few beside ``t_n`` that a spelling may be a slip of the other.
+
+    At most half as many, give or take what counts of that size vary by; so small counts decide nothing against a slip
+    and large ones of like size do, whatever the size of the data.
+    """
+    return f"({n} <= {t_n} / 2 + sqrt({t_n}))"
+
+
 def name_entities(records: DataFrame) -> DataFrame:
     """``id`` and ``entity`` of every record (``id``, ``kind``, ``core``, ``aspect``) whose name says who is meant.
 
@@ -363,15 +372,15 @@ def name_entities(records: DataFrame) -> DataFrame:
     rid = F.xxhash64("kind", "core", "aspect")
     held = cut(records.select("id", "kind", "core", "aspect").distinct().withColumn("rid", rid))
     counts = held.groupBy("core").agg(F.count_distinct("id").alias("n"))
-    cores = cut(counts.withColumn("strong", F.col("n") >= 2))
+    cores = cut(counts.withColumn("strong", F.lit(False)))  # any core may be a slip of a more frequent one
     readings = cut(held.select("rid", "kind", "core", "aspect").distinct().join(cores, "core").withColumn("full", is_full(F.col("kind"), F.col("aspect"))))
     near = cut(core_neighbours(cores))
 
     full = readings.filter("full")
     target = full.select(F.col("rid").alias("t"), F.col("kind").alias("t_kind"), F.col("core").alias("other"), F.col("aspect").alias("t_aspect"), F.col("n").alias("t_n"))
-    # a weak full reading follows the closest reading of the same kind and aspect
-    weak = full.filter("not strong").join(near, "core").join(target, "other").filter("kind = t_kind")
-    weak = weak.withColumn("score", fit("core", "aspect", "other", "t_aspect")).filter("score >= 0.75 and (t_n > n or (t_n = n and other < core))")
+    # a rarer full reading follows the closest reading of the same kind and aspect
+    weak = full.join(near, "core").join(target, "other").filter("kind = t_kind")
+    weak = weak.withColumn("score", fit("core", "aspect", "other", "t_aspect")).filter("score >= 0.75 and (t_n > n or (t_n = n and other < core))").filter(rarer("n", "t_n"))
     follow = weak.groupBy("rid").agg(F.min_by("t", F.struct("d", -F.col("t_n"), "other", "t")).alias("t"))
     hop = cut(full.select("rid").join(follow, "rid", "left").select("rid", F.coalesce("t", "rid").alias("t")))
     up = hop.select(F.col("rid").alias("t"), F.col("t").alias("tt"))
@@ -379,10 +388,10 @@ def name_entities(records: DataFrame) -> DataFrame:
     up2 = leader.select(F.col("rid").alias("t"), F.col("t").alias("tt"))
     leader = cut(leader.join(up2, "t").select("rid", F.col("tt").alias("entity")))
 
-    # an incomplete reading looks at its own core and, if that is weak, at its neighbours
-    part = readings.filter("not full").select("rid", "kind", "core", "aspect", "strong")
-    looks = part.select("*", F.col("core").alias("other"), F.lit(0).alias("d")).unionByName(part.filter("not strong").join(near, "core").select(*part.columns, "other", "d"))
-    fits = looks.join(target, "other").filter("kind = t_kind or kind = '?'").withColumn("score", fit("core", "aspect", "other", "t_aspect")).filter("score >= 0.75")
+    # an incomplete reading looks at its own core and at the neighbours that are seen more
+    part = readings.filter("not full").select("rid", "kind", "core", "aspect", "n")
+    looks = part.select("*", F.col("core").alias("other"), F.lit(0).alias("d")).unionByName(part.join(near, "core").select(*part.columns, "other", "d"))
+    fits = looks.join(target, "other").filter("kind = t_kind or kind = '?'").filter("d = 0 or " + rarer("n", "t_n")).withColumn("score", fit("core", "aspect", "other", "t_aspect")).filter("score >= 0.75")
     fits = fits.join(leader.select(F.col("rid").alias("t"), "entity"), "t")
     best = fits.groupBy("rid", "d").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).groupBy("rid").agg(F.min_by(F.struct("lo", "hi"), "d").alias("e"))
     joined = best.filter("e.lo = e.hi").select("rid", F.col("e.lo").alias("entity"))

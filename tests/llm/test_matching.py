@@ -126,6 +126,16 @@ def test_one_to_one_is_the_best_total(spark):
     assert got == {("a1", "b2"): 0.9, ("a2", "b1"): 0.4}
 
 
+def test_one_to_one_of_a_hot_entity(spark):
+    n = 5_001
+    rows = [(f"{s}{k:04d}", "e", s, 0.5 + (k % 7) / 20) for s in ("s1", "s2") for k in range(n)] + [("x", "f", "s1", 1.0), ("y", "f", "s2", 1.0)]
+    df = spark.createDataFrame(rows, "id string, entity string, source string, conf double")
+    got = [(r.candidate_a, r.candidate_b) for r in entities.one_to_one(df).collect()]
+    assert len(got) == len({a for a, _ in got}) == len({b for _, b in got}) == n + 1
+    conf = {r[0]: r[3] for r in rows}
+    assert all(conf[a] == conf[b] for a, b in got)
+
+
 def test_entities(spark):
     schema = "candidate_id string, names array<string>, phones array<string>, website_urls array<string>, emails array<string>, source_keys array<string>"
     rows = [

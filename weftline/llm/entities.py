@@ -38,8 +38,6 @@ FEW = 32
 ACCEPT = 0.5
 #: Weights of the similarities: name, phone, host, mail. A name match alone passes, contacts alone don't.
 WEIGHTS = (0.62, 0.14, 0.14, 0.10)
-#: Most members of an entity that are ranked together.
-SLOTS = 10_000
 
 # Endings of hosts that stand for a trade.
 HOST_TRADES = ("ton", "master", "mix", "probe", "pod", "film", "musik")
@@ -329,15 +327,21 @@ def one_to_one(members: DataFrame) -> DataFrame:
 
     The confidence of two members is the product of how surely each belongs to the entity. For such products the greatest
     total is reached by matching the surest of one source with the surest of the other, the second with the second and so
-    on, so each member gets a rank within its source and entity and equal ranks match. Entities of more than
-    ``SLOTS`` members are first dealt into strata of that size by their hash and matched within those, in parallel.
+    on, so each member gets a rank within its source and entity and equal ranks match. Ranks are counted within ranges of
+    the order and moved on by what the ranges before hold, so an entity of any size is ranked as a whole in many tasks.
     """
     sizes = members.groupBy("entity").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    dealt = members.join(sizes, "entity").withColumn("stratum", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SLOTS).cast("long")))
-    rank = Window.partitionBy("entity", "stratum", "source").orderBy(F.desc("conf"), "id")
-    slot = cut(dealt.withColumn("slot", F.row_number().over(rank)).select("entity", "stratum", "slot", "id", "source", "conf"))
-    other = slot.select("entity", "stratum", "slot", F.col("id").alias("id2"), F.col("source").alias("source2"), F.col("conf").alias("conf2"))
-    met = slot.join(other, ["entity", "stratum", "slot"]).filter("source < source2 and id <> id2")
+    order = ("entity", "source", F.desc("conf"), "id")
+    ranges = members.join(sizes, "entity").repartitionByRange(parallelism(members.sparkSession), *order)
+    laid = cut(ranges.select("entity", "source", "conf", "id", F.spark_partition_id().alias("part")))
+    held = laid.groupBy("entity", "source", "part").agg(F.count(F.lit(1)).alias("held"))
+    before = Window.partitionBy("entity", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("entity", "source", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    rank = Window.partitionBy("entity", "source", "part").orderBy(F.desc("conf"), "id")
+    slot = laid.withColumn("place", F.row_number().over(rank)).join(held, ["entity", "source", "part"])
+    slot = cut(slot.select("entity", (F.col("before") + F.col("place")).alias("slot"), "id", "source", "conf"))
+    other = slot.select("entity", "slot", F.col("id").alias("id2"), F.col("source").alias("source2"), F.col("conf").alias("conf2"))
+    met = slot.join(other, ["entity", "slot"]).filter("source < source2 and id <> id2")
     pairs = met.select(F.least("id", "id2").alias("candidate_a"), F.greatest("id", "id2").alias("candidate_b"), F.round(F.col("conf") * F.col("conf2"), 6).alias("confidence"), "entity")
     return pairs.groupBy("candidate_a", "candidate_b").agg(F.max("confidence").alias("confidence"), F.max_by("entity", "confidence").alias("entity"))
 

@@ -85,6 +85,12 @@ def test_priority_is_the_best_of_any_group_size(spark, monkeypatch, shard):
     assert got == want
 
 
+def test_priority_against_many_that_agree(spark):
+    rows = [(f"g{n}", "names", f"m{k:03d}", ["b"] if k == 0 else ["z"], k + 1, None, n) for n in (54, 55, 64, 300) for k in range(n)]
+    df = spark.createDataFrame(rows, "group_id string, field string, member_id string, tokens array<string>, trust int, seen timestamp, group_size long")
+    assert {r.group_id: r.member_id for r in survivor.best_values(df).collect()} == {f"g{n}": "m000" for n in (54, 55, 64, 300)}
+
+
 def test_member_values_defined_cases(spark):
     c = lambda n: f"0000000{n}-0000-0000-0000-000000000000"
     cand = [

@@ -52,6 +52,21 @@ def test_finds_unreviewed_documents(spark):
     assert rows[1000].score == rows[1001].score == rows[1002].score == 0 and len(rows) == 243
 
 
+def test_size_of_the_model_changes_no_score(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    want = {r.doc_id: (round(r.score, 9), r.passages, r.found) for r in abuse.score_documents(docs, labels).collect()}
+    monkeypatch.setattr(abuse, "HELD", 10)
+    monkeypatch.setattr(abuse, "BATCH", 500)
+    assert {r.doc_id: (round(r.score, 9), r.passages, r.found) for r in abuse.score_documents(docs, labels).collect()} == want
+
+
+def test_rare_runs_count_in_any_corpus(spark):
+    rows = [(k, "s", None, ["come outside."], [1000.0], [1.0]) for k in range(1000)] + [(2000 + k, "s", None, ["rare words."], [1.0], [1.0]) for k in range(3)]
+    marked = spark.createDataFrame(rows, "doc_id long, source string, y int, sents array<string>, pos array<double>, neg array<double>")
+    counts, *_ = abuse.final_model(marked)
+    assert counts["rare words."] == (3.0, 3.0)
+
+
 def test_without_reviews_or_documents(spark):
     docs, labels = corpus(spark, 16)
     assert abuse.score_documents(docs, labels.filter("false")).count() == 19

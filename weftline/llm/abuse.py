@@ -46,8 +46,12 @@ MARK = 8.0
 DOUBT = 3.0
 #: Weight of sentences of reviewed documents against others.
 REVIEWED = 3.0
-#: Share of the marked sentences a run must be in to be part of the model, two of them at least.
-SUPPORT = 1 / 250_000
+#: Weight of marked (or, if none is, of other) sentences a run must reach to be part of the final model, whatever the size of the corpus.
+SUPPORT = 2.0
+#: Runs up to which the final model is broadcast; a larger one is joined to the runs of the documents.
+HELD = 1_000_000
+#: Tokens of the documents that are scored together with a joined model.
+BATCH = 400_000
 #: Least score of a found document, and its chance among unmarked texts of its length.
 LEAST, CHANCE = 7.0, 0.001
 _HEAVY = 0.995
@@ -281,12 +285,12 @@ def mark_sentences(read: DataFrame, first: tuple) -> DataFrame:
     return read.select("doc_id", "source", "y", "sents").mapInPandas(run, "doc_id long, source string, y int, sents array<string>, pos array<double>, neg array<double>")
 
 
-def final_model(marked: DataFrame) -> tuple[dict[str, tuple[float, float]], float, float]:
+def final_model(marked: DataFrame) -> tuple[dict[str, tuple[float, float]] | DataFrame, float, float]:
     """Counts of runs in marked and other sentences of all documents.
 
     Runs are counted among marked sentences first, then those runs among the others, and last, of what only others hold,
-    longer runs with a part that leans to marked: nothing else can ever score. A run must reach a share ``SUPPORT`` of
-    the marked sentences, which bounds the model whatever the size of the corpus.
+    longer runs with a part that leans to marked: nothing else can ever score. Counts of more than ``HELD`` runs stay a
+    table (``run``, ``pos``, ``neg``) of the same content.
     """
     spark = marked.sparkSession
 
@@ -303,9 +307,11 @@ def final_model(marked: DataFrame) -> tuple[dict[str, tuple[float, float]], floa
 
     total = marked.select(*[F.coalesce(F.sum(F.aggregate(c, F.lit(0.0), lambda s, x: s + x)), F.lit(0.0)).alias(c) for c in ("pos", "neg")]).first()
     sizes = (total["pos"], total["neg"])
-    floor = max(2.0, sizes[0] * SUPPORT)
-    counts = {x: k for x, (k, _) in _as_counts(_counted(marked, own).filter(F.col("pos") >= floor)).items()}
     base = (sizes[0] + 0.5) / (sum(sizes) + 1.0)
+    own_counts = cut(_counted(marked, own).filter(F.col("pos") >= SUPPORT))
+    if own_counts.count() > HELD:
+        return _joined_model(marked, own_counts, base, weights), *sizes
+    counts = {x: k for x, (k, _) in _as_counts(own_counts).items()}
     seen = spark.sparkContext.broadcast(set(counts))
 
     def against(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
@@ -344,10 +350,58 @@ def final_model(marked: DataFrame) -> tuple[dict[str, tuple[float, float]], floa
             for x in met:
                 neg[x] += w
 
-    both |= {x: (0.0, n) for x, (_, n) in _as_counts(_counted(marked, beyond).filter(F.col("neg") >= floor)).items()}
+    more = cut(_counted(marked, beyond).filter(F.col("neg") >= SUPPORT))
+    if more.count() + len(both) > HELD:
+        return _joined_model(marked, own_counts, base, weights), *sizes
+    both |= {x: (0.0, n) for x, (_, n) in _as_counts(more).items()}
     return both, *sizes
 
 
+def _joined_model(marked: DataFrame, own_counts: DataFrame, base: float, weights) -> DataFrame:
+    """The counts of ``final_model`` by joins: nothing is sent to the driver or to every task."""
+
+    def other(pdf: pd.DataFrame, pos: Counter, neg: Counter) -> None:
+        for words, w in weights(pdf, "neg"):
+            for x in runs(words):
+                neg[x] += w
+
+    others = cut(_counted(marked, other).select("run", "neg"))
+    both = cut(own_counts.select("run", "pos").join(others, "run", "left").select("run", "pos", F.coalesce("neg", F.lit(0.0)).alias("neg")))
+    lean = both.filter(f"size(split(run, ' ')) < 3 and (pos + {PRIOR * base}) / (pos + neg + {PRIOR}) > {3 * base}").select(F.col("run").alias("part"))
+    # the parts of a run are the run without its first and without its last token
+    longer = others.filter(F.col("neg") >= SUPPORT).filter("instr(run, ' ') > 0").join(both, "run", "left_anti")
+    parts = longer.select("run", "neg", F.explode(F.array(F.regexp_replace("run", "^[^ ]+ ", ""), F.regexp_replace("run", " [^ ]+$", ""))).alias("part"))
+    more = parts.join(lean, "part", "left_semi").select("run", F.lit(0.0).alias("pos"), "neg").distinct()
+    return cut(both.unionByName(more))
+
+
+def _with_joined(marked: DataFrame, model: DataFrame, sizes: tuple[float, float], score, schema: str) -> DataFrame:
+    """``score(odds, pdf)`` of documents dealt into batches, each with the counts of the runs it holds."""
+    words = F.aggregate("sents", F.lit(0).cast("long"), lambda n, x: n + F.size(F.split(x, " ")))
+    total = marked.agg(F.coalesce(F.sum(words), F.lit(0)).alias("n")).first()["n"]
+    # repeated ids are told apart by their text
+    docs = cut(marked.select("doc_id", "source", "y", "sents", F.pmod(F.xxhash64("doc_id", "sents"), F.lit(total // BATCH + 1)).alias("batch")))
+
+    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for batch, group in pdf.groupby("batch"):
+                yield pd.DataFrame({"batch": batch, "run": sorted({x for sents in group["sents"] for x in _with_parts(" ".join(sents).split())})})
+
+    needed = docs.repartition("batch").mapInPandas(held, "batch long, run string").distinct()
+    counts = needed.join(model, "run").select("batch", "run", "pos", "neg")
+
+    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        odds = Odds(dict(zip(known["run"], zip(known["pos"], known["neg"], strict=True), strict=True)), *sizes, True)
+        return score(odds, pdf)
+
+    return docs.groupBy("batch").cogroup(counts.groupBy("batch")).applyInPandas(run, schema)
+
+
+def _with_parts(words: list[str]) -> set[str]:
+    """The runs of a text and their parts, with those of the two sentence ends before it."""
+    return runs(words) | {".", ". ."}
+
+
 _MODELS: dict[int, Odds] = {}
 
 
@@ -382,24 +436,31 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     read = cut(read_sentences(documents, labels))
     marked = cut(mark_sentences(read, first_model(read)))
-    model = (*final_model(marked), True)
-    sent = spark.sparkContext.broadcast(model)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        odds = _odds(sent)
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            score, passages, length = [], [], []
-            for sents in pdf["sents"]:
-                words = " ".join(sents).split()
-                got = [s for _, _, s in all_segments(odds.scores(words, TOLL))]
-                score.append(max(got, default=0.0))
-                passages.append(sum(s >= LEAST for s in got))
-                length.append(len(words))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "y": pdf["y"], "score": score, "passages": passages, "length": length})
-
-    scored = cut(marked.select("doc_id", "source", "y", "sents").mapInPandas(run, "doc_id long, source string, y int, score double, passages long, length long"))
+    model, *sizes = final_model(marked)
+    schema = "doc_id long, source string, y int, score double, passages long, length long"
+
+    def rate(odds: Odds, pdf: pd.DataFrame) -> pd.DataFrame:
+        score, passages, length = [], [], []
+        for sents in pdf["sents"]:
+            words = " ".join(sents).split()
+            got = [s for _, _, s in all_segments(odds.scores(words, TOLL))]
+            score.append(max(got, default=0.0))
+            passages.append(sum(s >= LEAST for s in got))
+            length.append(len(words))
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "y": pdf["y"], "score": score, "passages": passages, "length": length})
+
+    if isinstance(model, DataFrame):
+        scored = cut(_with_joined(marked, model, sizes, rate, schema))
+    else:
+        sent = spark.sparkContext.broadcast((model, *sizes, True))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            odds = _odds(sent)
+            for pdf in frames:
+                if len(pdf):
+                    yield rate(odds, pdf)
+
+        scored = cut(marked.select("doc_id", "source", "y", "sents").mapInPandas(run, schema))
     a, b, scale = gumbel(scored)
     z = (F.col("score") - F.lit(a) - F.lit(b) * F.log(F.greatest("length", F.lit(1)))) / F.lit(scale)
     chance = 1 - F.exp(-F.exp(-z))

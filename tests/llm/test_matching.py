@@ -176,6 +176,18 @@ def test_spellings_far_apart_in_every_order(spark):
         assert linked(entities.entity_members(spark.createDataFrame(rows, schema))) == [("1", "2")]
 
 
+def test_long_chains_of_best_links(spark):
+    chain = lambda n: ["ba" * k + "nu" * (n - k) for k in range(n + 1)]
+    got = found(spark, [("s", "zz")], [(f"{k:02d}", [f"{c} tonstudio"]) for k, c in enumerate(chain(12))])
+    assert [len(x) for x in got] == [13]
+    schema = "candidate_id string, names array<string>, phones array<string>, website_urls array<string>, emails array<string>, source_keys array<string>"
+    rows = [(f"{k}-{j}", [f"{c} tonstudio"], ["+4943428435104"], [], [], ["a"]) for k, c in enumerate(chain(11)) for j in range(k + 1)]
+    assert [len(x) for x in linked(entities.entity_members(spark.createDataFrame(rows, schema)))] == [len(rows)]
+    rows = [(f"{k}-{j}", [f"{c}straße 8, 42743 Falkenlitz"]) for k, c in enumerate(chain(8)[1:7]) for j in range(k + 1)]
+    groups = {r["group"] for r in addresses.same_address(spark.createDataFrame(rows, "candidate_id string, addresses array<string>")).collect()}
+    assert len(groups) == 1
+
+
 def test_very_long_values(spark):
     long = "badofugeki" * 2_000
     rows = [("1", [long], ["9" * 20_000 + " " + long], None), ("2", [long], [long + " 8"], None), ("3", [long[1:]], ["a-" * 5_000], None), ("4", ["tonstudio " * 3_000], ["1 " * 9_000], None)]

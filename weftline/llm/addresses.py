@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import fold_german
 from weftline.functions.values import is_usable
+from weftline.llm.components import chain_ends
 from weftline.runtime import cut
 
 # Words of a street's kind with their abbreviations (folded spelling).
@@ -151,9 +152,9 @@ def match_forms(forms: DataFrame) -> DataFrame:
     links = same.select(F.inline(F.array(F.struct(F.col("form_a").alias("form"), F.col("form_b").alias("other"), F.col("n_b").alias("n")), F.struct(F.col("form_b").alias("form"), F.col("form_a").alias("other"), F.col("n_a").alias("n")))))
     own = f.select("form", F.col("form").alias("other"), "n")
     leader = cut(links.unionByName(own).groupBy("form").agg(F.max_by("other", F.struct("n", "other")).alias("lead")))
-    # a form follows its leader's leader, so that all spellings end at the best-supported one
-    up = leader.select(F.col("form").alias("lead"), F.col("lead").alias("group"))
-    placed = leader.join(up, "lead").join(f.filter("place is not null").select("form"), "form", "left_semi").select("form", "group")
+    # a form follows its leaders to the last one, so that all spellings end at the best-supported one
+    ends = chain_ends(leader, "form", "lead").withColumnRenamed("lead", "group")
+    placed = ends.join(f.filter("place is not null").select("form"), "form", "left_semi").select("form", "group")
     return placed.unionByName(_placeless(f, placed))
 
 

@@ -160,3 +160,19 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     """``record_id`` and ``group_id`` of every candidate and pair with a link."""
     pairs, blocked = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pairs", "blocked_edges"))
     return connected_groups(decided_links(pairs, blocked))
+
+
+def chain_ends(hop: DataFrame, key: str, to: str) -> DataFrame:
+    """``hop`` with every pointer ``to`` at the end of its chain, by pointer doubling until none moves.
+
+    Each ``key`` has one row, ends point at themselves and no chain comes back. A column ``conf`` becomes the least of the
+    steps taken.
+    """
+    extra = [c for c in hop.columns if c == "conf"]
+    while True:
+        up = hop.select(F.col(key).alias(to), F.col(to).alias("above"), *[F.col(c).alias("c") for c in extra])
+        least = F.when(F.col("above") == F.col(to), F.col("conf")).otherwise(F.least("conf", "c")).alias("conf") if extra else None
+        moved = cut(hop.join(up, to).select(key, F.col("above").alias(to), *([least] if extra else []), (F.col("above") != F.col(to)).alias("moved")))
+        hop = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return hop

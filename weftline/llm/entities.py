@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.values import is_usable, plain_source_key
+from weftline.llm.components import chain_ends
 from weftline.llm.names import LONGEST, NICKNAMES, allowed, core_neighbours, deletions, edits, fold, is_full, rarer, read_name, skeleton
 from weftline.runtime import cut, parallelism, spread
 
@@ -302,10 +303,7 @@ def group_readings(readings: DataFrame, links: DataFrame) -> DataFrame:
     ahead = at.filter(f"full and ({rarer('n', 't_n')} or contact) and (t_n > n or (t_n = n and t < rid))")
     follow = ahead.groupBy("rid").agg(F.max_by(F.struct("t", "conf"), F.struct("conf", "t_n", "t")).alias("f")).select("rid", "f.t", "f.conf")
     hop = cut(info.filter("full").select("rid").join(follow, "rid", "left").select("rid", F.coalesce("t", "rid").alias("t"), F.coalesce("conf", F.lit(1.0)).alias("conf")))
-    for _ in range(3):
-        up = hop.select(F.col("rid").alias("t"), F.col("t").alias("above"), F.col("conf").alias("c"))
-        hop = hop.join(up, "t").select("rid", F.col("above").alias("t"), F.when(F.col("above") == F.col("t"), F.col("conf")).otherwise(F.least("conf", "c")).alias("conf"))
-    lead = cut(hop.select("rid", F.col("t").alias("entity"), "conf"))
+    lead = chain_ends(hop, "rid", "t").select("rid", F.col("t").alias("entity"), "conf")
     fits = at.filter("not full").join(lead.select(F.col("rid").alias("t"), "entity"), "t")
     best = fits.groupBy("rid", F.col("contact")).agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.max("conf").alias("conf"))
     best = best.groupBy("rid").agg(F.max_by(F.struct("lo", "hi", "conf"), F.col("contact").cast("int")).alias("e"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.values import is_usable
+from weftline.llm.components import chain_ends
 from weftline.runtime import cut, spread
 
 #: Letters of the longest core for which spellings are searched; longer ones match as they are only.
@@ -383,10 +384,7 @@ def name_entities(records: DataFrame) -> DataFrame:
     weak = weak.withColumn("score", fit("core", "aspect", "other", "t_aspect")).filter("score >= 0.75 and (t_n > n or (t_n = n and other < core))").filter(rarer("n", "t_n"))
     follow = weak.groupBy("rid").agg(F.min_by("t", F.struct("d", -F.col("t_n"), "other", "t")).alias("t"))
     hop = cut(full.select("rid").join(follow, "rid", "left").select("rid", F.coalesce("t", "rid").alias("t")))
-    up = hop.select(F.col("rid").alias("t"), F.col("t").alias("tt"))
-    leader = hop.join(up, "t").select("rid", F.col("tt").alias("t"))
-    up2 = leader.select(F.col("rid").alias("t"), F.col("t").alias("tt"))
-    leader = cut(leader.join(up2, "t").select("rid", F.col("tt").alias("entity")))
+    leader = chain_ends(hop, "rid", "t").withColumnRenamed("t", "entity")
 
     # an incomplete reading looks at its own core and at the neighbours that are seen more
     part = readings.filter("not full").select("rid", "kind", "core", "aspect", "n")

@@ -176,6 +176,12 @@ def test_spellings_far_apart_in_every_order(spark):
         assert linked(entities.entity_members(spark.createDataFrame(rows, schema))) == [("1", "2")]
 
 
+def test_found_is_the_closure_of_entities(spark, sf_dir, monkeypatch):
+    matches = {(r.candidate_a, r.candidate_b) for r in entities.p6_matches(spark, sf_dir).collect()}
+    monkeypatch.setattr(entities, "one_to_one", None)  # p6_found has no use for it
+    assert matches <= {(r.candidate_a, r.candidate_b) for r in entities.p6_found(spark, sf_dir).collect()}
+
+
 def test_long_chains_of_best_links(spark):
     chain = lambda n: ["ba" * k + "nu" * (n - k) for k in range(n + 1)]
     got = found(spark, [("s", "zz")], [(f"{k:02d}", [f"{c} tonstudio"]) for k, c in enumerate(chain(12))])

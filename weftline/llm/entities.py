@@ -353,11 +353,9 @@ def p6_matches(spark, sf_dir: str) -> DataFrame:
 def p6_found(spark, sf_dir: str) -> DataFrame:
     """``candidate_a`` < ``candidate_b`` of every two candidates that describe one entity.
 
-    A source may describe an entity twice and records of one source may too: what the assignment left without a partner
-    is added where it belongs to the same entity.
+    A source may describe an entity twice and records of one source may too, so these are all pairs of members of an
+    entity. The one-to-one assignment, whose pairs are among them, serves ``p6_matches`` only.
     """
     members = cut(entity_members(spark.read.parquet(f"{sf_dir}/candidates.parquet")))
-    matched = one_to_one(members).select("candidate_a", "candidate_b")
     other = members.select("entity", F.col("id").alias("candidate_b"))
-    rest = members.select("entity", F.col("id").alias("candidate_a")).join(other, "entity").filter("candidate_a < candidate_b").select("candidate_a", "candidate_b")
-    return matched.unionByName(rest).distinct()
+    return members.select("entity", F.col("id").alias("candidate_a")).join(other, "entity").filter("candidate_a < candidate_b").select("candidate_a", "candidate_b").distinct()

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table of the shared checkpoint folder and read back; the ``cut`` for the state of a loop.
+
+    A checkpoint keeps the planner's estimate of its size, and an estimate that is multiplied by itself in every round
+    soon has so many digits that planning takes longer than the work. A written table has the size it has.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else unchanged (the join then shuffles)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -40,10 +40,10 @@ def shapes(seed):
     return links
 
 
-@pytest.mark.parametrize("core", [0, components.SMALL_CORE])
-def test_groups_of_all_shapes(spark, monkeypatch, core):
-    monkeypatch.setattr(components, "SMALL_CORE", core)
-    links = shapes(core)
+@pytest.mark.parametrize(("seed", "shrink"), [(0, components.SHRINK), (1, 0.0), (2, 1.0)])
+def test_groups_of_all_shapes(spark, monkeypatch, seed, shrink):
+    monkeypatch.setattr(components, "SHRINK", shrink)
+    links = shapes(seed)
     got = {r.record_id: r.group_id for r in components.connected_groups(spark.createDataFrame(links, "a string, b string")).collect()}
     assert got == brute(links)
 

@@ -1,14 +1,17 @@
 """Problem 4: consolidating pairwise links into groups by rake and compress.
 
-Each phase first strips vertices of degree one (each keeps its neighbour as parent), then compresses chains of degree-two
-vertices: every chain is ranked by pointer doubling in both directions, all its vertices get the smallest of them as
-parent, and that vertex leaves the graph too, hanging on one end while an edge joins both ends. Trees and cycles
-vanish that way in a logarithmic number of phases. What stays has degree three or more everywhere; this core is
-solved by alternating large-star and small-star steps. Labels are then restored phase by phase in reverse order.
-
-State lives in tables of the shared checkpoint folder, one per step, so a lost executor costs no more than its tasks.
-Nothing is collected but counts. A hub vertex costs no more than its edges: degrees are aggregated before shuffling
-and no step builds the list of a vertex's neighbours.
+Each phase takes all vertices of degree one and two at once. They form chains, and every chain is ranked by pointer
+doubling in both directions, which finds its smallest vertex and what it ends at: all its vertices get that smallest one
+as parent and leave the graph. A chain that ends in a leaf hangs on its other end, one between two vertices that stay
+leaves an edge between them, a path or cycle of its own is done. Trees and cycles vanish that way in a logarithmic number of
+phases. When a phase no longer shrinks the graph by an eighth, what is left (nearly all of it of degree three or more) is
+solved by alternating large-star and small-star steps. Labels are then restored by pointer doubling over the removed
+vertices.
+
+State lives in tables of the shared checkpoint folder, so a lost executor costs no more than its tasks. Nothing is
+collected but counts, and every join of the loop is a merge join, so that no side of it passes through the driver. A hub
+vertex costs no more than its edges: degrees are aggregated before shuffling and no step builds the list of a vertex's
+neighbours.
 
 Defined results: null ends and self loops make no link (and no row); repeated and reversed links count once; an empty
 input gives an empty result.
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.values import plain_digest, plain_uuid
 from weftline.operators.components import star_labels
-from weftline.runtime import cut
+from weftline.runtime import cut, written
 
-#: Below this many edges left, the core solver takes fewer jobs than further phases; a matter of speed only.
-SMALL_CORE = 2_000
+#: A phase must take away at least this share of the edges to be followed by another one.
+SHRINK = 0.125
 
 
 def simple_edges(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -41,81 +44,72 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))))
 
 
-def _strip_leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices of degree one with their neighbour as parent, and the edges left.
-
-    Of an edge whose both ends are leaves only the greater end is stripped; the smaller one ends its group.
-    """
-    leaf = _both_ways(edges).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y")).filter("n = 1")
-    ends = leaf.select(F.col("x").alias("child"), F.col("y").alias("parent"))
-    pairs = ends.groupBy(F.least("child", "parent").alias("u"), F.greatest("child", "parent").alias("v")).agg(F.count(F.lit(1)).alias("k"), F.max("child").alias("child"))
-    gone = cut(pairs.select("u", "v", "child", F.when(F.col("child") == F.col("v"), F.col("u")).otherwise(F.col("v")).alias("parent")))
-    left = edges.join(gone.select("u", "v"), ["u", "v"], "left_anti")
-    return gone.select("child", "parent"), left
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A merge join, whatever the sides are thought to hold."""
+    return left.join(right.hint("merge"), on, how)
 
 
-def _compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Removed degree-two vertices with their parents, and the edges left; None if there is no such vertex.
+def _thin_chains(edges: DataFrame) -> DataFrame | None:
+    """``c``, ``low``, ``end1`` and ``end2`` of every vertex of degree one or two; None if there is none.
 
-    The arc (u, v) stands at the chain vertex v, coming from u. It points to the arc that leaves v on the other side
-    and keeps the smallest chain vertex seen; an arc into a vertex that isn't of degree two is the end of its chain.
+    ``low`` is the smallest vertex of its chain, the ends are the vertices that stay (null for leaves and cycles). The arc
+    (u, v) stands at v, coming from u (null: v is where the chain begins). It points to the arc that leaves v on the other
+    side; an arc that leaves for a vertex that stays, or for nowhere, is the end of its chain.
     """
-    arcs = _both_ways(edges)
-    two = arcs.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("a"), F.max("y").alias("b")).filter("n = 2").select(F.col("x").alias("c"), "a", "b")
-    two = cut(two)
-    if two.isEmpty():
+    degree = _both_ways(edges).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("a"), F.max("y").alias("b"))
+    thin = cut(degree.filter("n < 3").select(F.col("x").alias("c"), "a", F.when(F.col("n") == 2, F.col("b")).alias("b")))
+    if thin.isEmpty():
         return None
-    # at chain vertex c: arriving from a one leaves for b, and the other way round
-    hop = two.select(F.inline(F.array(F.struct("c", F.col("a").alias("from_"), F.col("b").alias("to")), F.struct("c", F.col("b").alias("from_"), F.col("a").alias("to")))))
-    inner = two.select(F.col("c").alias("to"), F.lit(True).alias("goes_on"))
-    state = hop.join(inner, "to", "left").select(
-        F.col("from_").alias("u"), F.col("c").alias("v"), F.col("c").alias("pu"), F.col("to").alias("pv"), F.col("goes_on").isNull().alias("ended"), F.col("c").alias("low")
+    hop = thin.select("c", F.inline(F.array(F.struct(F.col("a").alias("from_"), F.col("b").alias("to")), F.struct(F.col("b").alias("from_"), F.col("a").alias("to")))))
+    inner = thin.select(F.col("c").alias("to"), F.lit(True).alias("goes_on"))
+    state = _merged(hop, inner, "to", "left").select(
+        F.col("from_").alias("u"), F.col("c").alias("v"), F.col("c").alias("pu"), F.col("to").alias("pv"), F.col("goes_on").isNull().alias("ended"), F.col("c").alias("low"), F.lit(False).alias("news")
     )
-    state = cut(state)
     while True:
-        ahead = state.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("nu"), F.col("pv").alias("nv"), F.col("ended").alias("n_ended"), F.col("low").alias("n_low"))
-        going = state.filter("not ended").join(ahead, ["pu", "pv"])
-        moved = going.select(
-            "u", "v", F.col("nu").alias("pu"), F.col("nv").alias("pv"), F.col("n_ended").alias("ended"), F.least("low", "n_low").alias("low"), (F.col("n_ended") | (F.col("n_low") < F.col("low"))).alias("news")
-        )
-        nxt = cut(state.filter("ended").withColumn("news", F.lit(False)).unionByName(moved))
-        quiet = nxt.filter("news").isEmpty()
-        state = nxt.drop("news")
-        if quiet:
+        state = written(_ranked(_ranked(state)))
+        if state.filter("news").isEmpty():
             break
-    # both directions of a vertex together: the smallest chain vertex and the ends, null for cycles
-    chain = state.groupBy(F.col("v").alias("c")).agg(
+    return state.groupBy(F.col("v").alias("c")).agg(
         F.min("low").alias("low"), F.min(F.when(F.col("ended"), F.col("pv"))).alias("end1"), F.max(F.when(F.col("ended"), F.col("pv"))).alias("end2")
     )
-    chain = cut(chain)
-    heads = chain.filter("c = low and end1 is not null")
-    removed = chain.filter("c <> low").select(F.col("c").alias("child"), F.col("low").alias("parent")).unionByName(heads.select(F.col("c").alias("child"), F.col("end1").alias("parent")))
-    kept = edges.join(two.select(F.col("c").alias("u")), "u", "left_anti").join(two.select(F.col("c").alias("v")), "v", "left_anti").select("u", "v")
+
+
+def _ranked(state: DataFrame) -> DataFrame:
+    """One step of pointer doubling: every arc takes over where the arc it points to has got to."""
+    ahead = state.filter("u is not null").select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("nu"), F.col("pv").alias("nv"), F.col("ended").alias("n_ended"), F.col("low").alias("n_low"))
+    moved = _merged(state.filter("not ended"), ahead, ["pu", "pv"]).select(
+        "u", "v", F.col("nu").alias("pu"), F.col("nv").alias("pv"), F.col("n_ended").alias("ended"), F.least("low", "n_low").alias("low"), (F.col("n_ended") | (F.col("n_low") < F.col("low"))).alias("news")
+    )
+    return state.filter("ended").withColumn("news", F.lit(False)).unionByName(moved)
+
+
+def _peel(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Removed vertices with their parents (``child``, ``parent``) and the edges left; None if all vertices stay."""
+    chains = _thin_chains(edges)
+    if chains is None:
+        return None
+    chains = written(chains)
+    heads = chains.filter("c = low and end1 is not null")
+    removed = chains.filter("c <> low").select(F.col("c").alias("child"), F.col("low").alias("parent")).unionByName(heads.select(F.col("c").alias("child"), F.col("end1").alias("parent")))
+    kept = _merged(_merged(edges, chains.select(F.col("c").alias("u")), "u", "left_anti"), chains.select(F.col("c").alias("v")), "v", "left_anti").select("u", "v")
     bridges = heads.filter("end1 <> end2").select(F.least("end1", "end2").alias("u"), F.greatest("end1", "end2").alias("v"))
-    # head of chain hangs on end1 while the other chain vertices hang on the head: two layers, heads are restored first
-    return removed, kept.unionByName(bridges).distinct()
+    return removed, written(kept.unionByName(bridges).distinct())
 
 
 def connected_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``record_id`` and ``group_id`` (the smallest record of its group) of every record with a link to another one."""
-    whole = cut(simple_edges(links, a, b))
-    edges, layers = whole, []
+    edges = whole = cut(simple_edges(links, a, b))
+    forest: DataFrame | None = None
     left = edges.count()
-    while left > SMALL_CORE or (left and not layers):
-        before = left
-        gone, edges = _strip_leaves(edges)
-        layers.append(gone)
-        edges = cut(edges)
-        pressed = _compress_chains(edges)
-        if pressed:
-            layers.append(cut(pressed[0]))
-            edges = cut(pressed[1])
-        left = edges.count()
-        if left == before:
+    while left:
+        peeled = _peel(edges)
+        if peeled is None:
+            break
+        removed, edges = peeled
+        forest = removed if forest is None else forest.unionByName(removed)
+        before, left = left, edges.count()
+        if left > before * (1 - SHRINK):
             break
-    forest = None
-    for layer in layers:
-        forest = layer if forest is None else forest.unionByName(layer)
     if left:
         core = star_labels(edges).filter("x <> label").select(F.col("x").alias("child"), F.col("label").alias("parent"))
         forest = core if forest is None else forest.unionByName(core)
@@ -125,19 +119,12 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _restore(forest: DataFrame) -> DataFrame:
-    """Give removed vertices the label of their root: the later layers' parents are looked up by pointer doubling."""
-    roots = forest.select(F.col("parent").alias("child")).join(forest.select("child"), "child", "left_anti").distinct()
-    state = forest
-    while True:
-        up = state.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
-        nxt = cut(state.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
-        settled = nxt.filter("moved").isEmpty()
-        state = nxt.drop("moved")
-        if settled:
-            break
-    member = state.select("child", F.col("parent").alias("root")).unionByName(roots.select("child", F.col("child").alias("root")))
-    name = member.groupBy("root").agg(F.min("child").alias("group_id"))
-    return member.join(name, "root").select(F.col("child").alias("record_id"), "group_id")
+    """Give every vertex the smallest vertex of its tree, by pointer doubling from the removed ones to their roots."""
+    roots = _merged(forest.select(F.col("parent").alias("child")).distinct(), forest.select("child"), "child", "left_anti")
+    hop = forest.unionByName(roots.select("child", F.col("child").alias("parent")))
+    member = chain_ends(hop, "child", "parent")
+    name = member.groupBy("parent").agg(F.min("child").alias("group_id"))
+    return _merged(member, name, "parent").select(F.col("child").alias("record_id"), "group_id")
 
 
 def decided_links(pairs: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -169,10 +156,14 @@ def chain_ends(hop: DataFrame, key: str, to: str) -> DataFrame:
     steps taken.
     """
     extra = [c for c in hop.columns if c == "conf"]
+
+    def jump(df: DataFrame) -> DataFrame:
+        up = df.select(F.col(key).alias(to), F.col(to).alias("above"), *[F.col(c).alias("c") for c in extra])
+        least = [F.when(F.col("above") == F.col(to), F.col("conf")).otherwise(F.least("conf", "c")).alias("conf")] if extra else []
+        return _merged(df, up, to).select(key, F.col("above").alias(to), *least, (F.col("above") != F.col(to)).alias("moved"))
+
+    hop = hop.select(key, to, *extra)
     while True:
-        up = hop.select(F.col(key).alias(to), F.col(to).alias("above"), *[F.col(c).alias("c") for c in extra])
-        least = F.when(F.col("above") == F.col(to), F.col("conf")).otherwise(F.least("conf", "c")).alias("conf") if extra else None
-        moved = cut(hop.join(up, to).select(key, F.col("above").alias(to), *([least] if extra else []), (F.col("above") != F.col(to)).alias("moved")))
-        hop = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            return hop
+        hop = written(jump(jump(hop)))
+        if hop.filter("moved").isEmpty():
+            return hop.drop("moved")

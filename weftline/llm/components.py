@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.values import plain_digest, plain_uuid
 from weftline.operators.components import star_labels
-from weftline.runtime import cut, written
+from weftline.runtime import written
 
 #: A phase must take away at least this share of the edges to be followed by another one.
 SHRINK = 0.125
@@ -49,22 +49,18 @@ def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "
     return left.join(right.hint("merge"), on, how)
 
 
-def _thin_chains(edges: DataFrame) -> DataFrame | None:
-    """``c``, ``low``, ``end1`` and ``end2`` of every vertex of degree one or two; None if there is none.
+def _thin_chains(edges: DataFrame) -> DataFrame:
+    """``c``, ``low``, ``end1`` and ``end2`` of every vertex of degree one or two.
 
     ``low`` is the smallest vertex of its chain, the ends are the vertices that stay (null for leaves and cycles). The arc
     (u, v) stands at v, coming from u (null: v is where the chain begins). It points to the arc that leaves v on the other
     side; an arc that leaves for a vertex that stays, or for nowhere, is the end of its chain.
     """
     degree = _both_ways(edges).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("a"), F.max("y").alias("b"))
-    thin = cut(degree.filter("n < 3").select(F.col("x").alias("c"), "a", F.when(F.col("n") == 2, F.col("b")).alias("b")))
-    if thin.isEmpty():
-        return None
-    hop = thin.select("c", F.inline(F.array(F.struct(F.col("a").alias("from_"), F.col("b").alias("to")), F.struct(F.col("b").alias("from_"), F.col("a").alias("to")))))
-    inner = thin.select(F.col("c").alias("to"), F.lit(True).alias("goes_on"))
-    state = _merged(hop, inner, "to", "left").select(
-        F.col("from_").alias("u"), F.col("c").alias("v"), F.col("c").alias("pu"), F.col("to").alias("pv"), F.col("goes_on").isNull().alias("ended"), F.col("c").alias("low"), F.lit(False).alias("news")
-    )
+    thin = written(degree.filter("n < 3").select(F.col("x").alias("c"), "a", F.when(F.col("n") == 2, F.col("b")).alias("b")))
+    sides = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("pv")), F.struct(F.col("b").alias("u"), F.col("a").alias("pv")))
+    hop = thin.select("c", F.inline(sides))
+    state = hop.select("u", F.col("c").alias("v"), F.col("c").alias("pu"), "pv", F.col("pv").isNull().alias("ended"), F.col("c").alias("low"), F.lit(False).alias("news"))
     while True:
         state = written(_ranked(_ranked(state)))
         if state.filter("news").isEmpty():
@@ -75,20 +71,23 @@ def _thin_chains(edges: DataFrame) -> DataFrame | None:
 
 
 def _ranked(state: DataFrame) -> DataFrame:
-    """One step of pointer doubling: every arc takes over where the arc it points to has got to."""
+    """One step of pointer doubling: every arc takes over where the arc it points to has got to.
+
+    An arc that points to none leaves for a vertex that stays and has ended.
+    """
     ahead = state.filter("u is not null").select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("nu"), F.col("pv").alias("nv"), F.col("ended").alias("n_ended"), F.col("low").alias("n_low"))
-    moved = _merged(state.filter("not ended"), ahead, ["pu", "pv"]).select(
-        "u", "v", F.col("nu").alias("pu"), F.col("nv").alias("pv"), F.col("n_ended").alias("ended"), F.least("low", "n_low").alias("low"), (F.col("n_ended") | (F.col("n_low") < F.col("low"))).alias("news")
-    )
+    met = _merged(state.filter("not ended").drop("news"), ahead, ["pu", "pv"], "left")
+    last = F.col("n_ended").isNull()
+    moved = met.select(
+        "u", "v", F.coalesce("nu", "pu").alias("pu"), F.when(last, F.col("pv")).otherwise(F.col("nv")).alias("pv"), F.coalesce("n_ended", F.lit(True)).alias("ended"),
+        F.least("low", "n_low").alias("low"), (last | F.col("n_ended") | (F.col("n_low") < F.col("low"))).alias("news"),
+    )
     return state.filter("ended").withColumn("news", F.lit(False)).unionByName(moved)
 
 
-def _peel(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Removed vertices with their parents (``child``, ``parent``) and the edges left; None if all vertices stay."""
-    chains = _thin_chains(edges)
-    if chains is None:
-        return None
-    chains = written(chains)
+def _peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Removed vertices with their parents (``child``, ``parent``) and the edges left."""
+    chains = written(_thin_chains(edges))
     heads = chains.filter("c = low and end1 is not null")
     removed = chains.filter("c <> low").select(F.col("c").alias("child"), F.col("low").alias("parent")).unionByName(heads.select(F.col("c").alias("child"), F.col("end1").alias("parent")))
     kept = _merged(_merged(edges, chains.select(F.col("c").alias("u")), "u", "left_anti"), chains.select(F.col("c").alias("v")), "v", "left_anti").select("u", "v")
@@ -98,24 +97,21 @@ def _peel(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
 
 def connected_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``record_id`` and ``group_id`` (the smallest record of its group) of every record with a link to another one."""
-    edges = whole = cut(simple_edges(links, a, b))
+    edges = whole = written(simple_edges(links, a, b))
     forest: DataFrame | None = None
     left = edges.count()
     while left:
-        peeled = _peel(edges)
-        if peeled is None:
-            break
-        removed, edges = peeled
+        removed, edges = _peel(edges)
         forest = removed if forest is None else forest.unionByName(removed)
         before, left = left, edges.count()
-        if left > before * (1 - SHRINK):
+        if left >= before * (1 - SHRINK):
             break
     if left:
         core = star_labels(edges).filter("x <> label").select(F.col("x").alias("child"), F.col("label").alias("parent"))
         forest = core if forest is None else forest.unionByName(core)
     if forest is None:
         return whole.select(F.col("u").alias("record_id"), F.col("v").alias("group_id"))
-    return _restore(cut(forest))
+    return _restore(forest)
 
 
 def _restore(forest: DataFrame) -> DataFrame:

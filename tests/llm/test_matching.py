@@ -1,5 +1,6 @@
 """Names, addresses and entities on small fixtures and against brute force."""
 
+import itertools
 import random
 
 import pytest
@@ -15,8 +16,8 @@ from weftline.llm import addresses, entities, names
     ],
 )
 def test_read_name(text, want):
-    kind, core, aspect = names.read_name(text)
-    assert (kind, aspect) == want and core == names.skeleton(names.fold("Hirkumuzüm"))
+    kind, words, aspect = names.read_name(text)
+    assert (kind, aspect) == want and words == [names.skeleton(names.fold("Hirkumuzüm"))]
 
 
 def test_nothing_to_read():
@@ -43,22 +44,32 @@ def test_edits_and_deletions():
 
 
 def test_assignment():
-    assert names.assign([["kumkeiruhaf"], ["ton"]], [["ton"], ["kumkeiruhof"]]) > 0.9
-    assert names.assign([["a"], ["b"]], [["a"]]) == 1.0 and names.assign([], [["a"]]) == 0.0
+    assert names.likeness_of([(2.0, "kumkeiruhaf"), (1.0, "ton")], [], [(1.0, "ton"), (2.0, "kumkeiruhof")], [])[0] > 0.9
+    assert names.likeness_of([(1.0, "katrin"), (1.0, "skhulz")], [], [(1.0, "katrin"), (1.0, "meier")], []) == (0.5, 0.5)
+    assert names.likeness_of([(1.0, "skhulz")], ["k."], [(1.0, "katrin"), (1.0, "skhulz")], [])[1] > 0.9 > names.likeness_of([(1.0, "skhulz")], ["p."], [(1.0, "katrin"), (1.0, "skhulz")], [])[0]
+    assert names.likeness_of([(1.0, "a")], ["antonia"], [(1.0, "a")], ["wilhelm"]) == (0.0, 0.0)
+    rnd = random.Random(3)
+    for n, m in ((1, 4), (3, 3), (4, 2), (5, 4)):
+        gain = [[rnd.choice([0.0, 0.2, 0.5, rnd.random()]) for _ in range(m)] for _ in range(n)]
+        total = sum(gain[i][j] for i, j in enumerate(names.assign(gain)) if j >= 0)
+        rows, cols = (range(n), range(m)) if n <= m else (range(m), range(n))
+        best = max(sum(gain[i][j] if n <= m else gain[j][i] for i, j in zip(rows, p)) for p in itertools.permutations(cols, len(rows)))
+        assert abs(total - best) < 1e-9
     assert names.likeness("w.", "wilhelm") == 0.9 and names.likeness("w.", "antonia") == 0.0
 
 
 def test_neighbours_against_brute_force(spark):
     rnd = random.Random(7)
     cores = list({"".join(rnd.choice("abk") for _ in range(rnd.choice([4, 6, 9]))) for _ in range(150)})
-    df = spark.createDataFrame([(c, rnd.random() < 0.5) for c in cores], "core string, strong boolean")
-    strong = {r.core: r.strong for r in df.collect()}
+    long_ = ["".join(rnd.choice("abk") for _ in range(90)) for _ in range(3)]
+    cores += long_ + [long_[0][1:], long_[0][:40] + "z" + long_[0][42:], long_[1][:89] + "zz", long_[2][:30] + long_[2][33:]]
+    df = spark.createDataFrame([(c,) for c in cores], "core string")
     got = {(r.core, r.other): r.d for r in names.core_neighbours(df).collect()}
     want = {}
     for a in cores:
         for b in cores:
             d = names.edits(a, b, 2)
-            if a != b and not strong[a] and d <= min(names.allowed(len(a)), names.allowed(len(b))):
+            if a != b and d <= min(names.allowed(len(a)), names.allowed(len(b))):
                 want[a, b] = d
     assert got == want
 
@@ -80,6 +91,14 @@ def test_name_entities(spark):
     assert found(spark, [("s1", "x")], [("c1", [])]) == []
 
 
+def test_names_on_no_list(spark):
+    long_ = ["ba" * 60 + "nu" * 60 + " Tonstudio", "Tonstudio " + "ba" * 60 + "un" + "nu" * 59, " ".join(f"wort{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300))]
+    seeds = [("s1", "Jonathan Whitfield"), ("s2", "Acme Widgets Handel"), ("s3", "Schulz, Katrin"), ("s4", "Peter Schulz"), ("s5", "Иван Щукин"), ("s6", "Klang Ahorn Tonstudio"), ("s7", long_[0])]
+    cands = [("c1", ["Whitfield, Jonathan"]), ("c2", ["Widgets Acme Handel"]), ("c3", ["katrin schulz"]), ("c4", ["K. Schulz"]), ("c5", ["Katrin Meier"]), ("c6", ["Щукин Иван"]), ("c7", ["Ahorn Klang Tonstd."]), ("c8", ["Jonathan Whitfeild"])]
+    cands += [("c9", ["Klang Birke Tonstudio"]), ("ca", [long_[1]]), ("cb", [long_[2]])]
+    assert found(spark, seeds, cands) == [("c1", "c8", "s1"), ("c2", "s2"), ("c3", "c4", "s3"), ("c6", "s5"), ("c7", "s6"), ("ca", "s7")]
+
+
 def test_slips_seen_more_than_once(spark):
     cands = [(f"a{k}", ["kumkeiruhaf tonstudio"]) for k in range(6)] + [(f"b{k}", ["kumkeiruhof tonstudio"]) for k in range(3)]
     assert found(spark, [("s", "Kumkeiruhaf Tonstudio")], cands) == [(*sorted(x for x, _ in cands), "s")]

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from weftline.functions.values import is_usable, plain_source_key
 from weftline.llm.components import chain_ends
-from weftline.llm.names import LONGEST, NICKNAMES, allowed, core_neighbours, deletions, edits, fold, is_full, rarer, read_name, skeleton
+from weftline.llm.names import LONGEST, NICKNAMES, allowed, core_neighbours, deletions, edits, fold, is_full, pieces, rarer, read_name, skeleton
 from weftline.runtime import cut, parallelism, spread
 
 #: Places of an order that are compared with each other.
@@ -111,7 +111,7 @@ def read_profile(names: list[str], hosts: list[str], mails: list[str]) -> list[t
 
     A host or mail that fits a name mends its spelling and fills in its aspect; without any name it is a reading itself.
     """
-    own = [r for r in (read_name(n) for n in names) if r]
+    own = [(kind, words[0], aspect) for kind, words, aspect in filter(None, map(read_name, names))]
     contacts = [r for r in (read_contact(v) for v in [*hosts, *mails]) if r]
     out: list[tuple[str, str, list[str]]] = []
     for kind, core, aspect in own:
@@ -225,7 +225,7 @@ _AGREES = f"size(aspect_a) = 0 or size(aspect_b) = 0 or exists(aspect_a, x -> ex
 
 def near_readings(readings: DataFrame) -> DataFrame:
     """``a`` < ``b`` of every two readings that agree and whose cores are within the allowed edits, however dense the orders are."""
-    cores = cut(readings.select("core").distinct().withColumn("strong", F.lit(False)))
+    cores = cut(readings.select("core").distinct())
     near = core_neighbours(cores).filter("core < other").select("core", "other").unionByName(cores.select("core", F.col("core").alias("other")))
     side = lambda x, core: readings.select(F.col("rid").alias(x), F.col("core").alias(core), F.col("kind").alias(f"kind_{x}"), F.col("aspect").alias(f"aspect_{x}"))
     both = near.join(side("a", "core"), "core").join(side("b", "other"), "other")
@@ -236,9 +236,8 @@ def near_readings(readings: DataFrame) -> DataFrame:
 def _core_keys(core: str) -> set[str]:
     """Strings of which two cores share one if they are one edit more apart than allowed, as a shared contact permits."""
     n = len(core)
-    most = 3 if 8 <= n <= LONGEST + 3 else allowed(n) + 1
-    ends = {"<" + core[:32], ">" + core[-32:]} if n > LONGEST else set()  # one edit leaves an end as it is
-    return ends | (deletions(core, most) if n <= LONGEST + 3 else set())
+    most = allowed(n) + 1
+    return (pieces(core, most) if n > LONGEST else set()) | (deletions(core, most) if n <= LONGEST + most else set())
 
 
 def shared_contacts(held: DataFrame) -> DataFrame:

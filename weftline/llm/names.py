@@ -1,18 +1,22 @@
 """Problem 1: variant spellings of names typed by people.
 
-A name is read into a core (the surname or the coined name of a business) and an aspect (the first name or the trade);
-legal forms, titles, towns and decorations fall away. A symmetric-delete index over the distinct cores finds those a few
-letters apart: two cores within two edits share a string after at most two deletions each. Readings whose cores are
-neighbours are then compared token by token: the best assignment of the tokens of one to those of the other, where an
-initial stands for a first name, an abbreviation for its word and a nickname for its name. A core follows the closest
-one that fits and is seen in far more records (see ``rarer``); cores of like support are established names of their own. An
-incomplete reading (initial, no trade, no first name) joins a full one only if exactly one fits.
-
-Everything runs on distinct cores and readings, so copies and hot names don't multiply the comparisons; only the
-final rows hold pairs.
-
-Defined results: null, blank and stand-in names take no part; cores of more than 64 letters match only as they are; a record with several names may belong to each of
-their readings; repeated rows count once; a record is never paired with itself; an empty table gives no pairs.
+A name is read into its words (in one form for letters of one sound, legal forms, titles and asides taken out) and an aspect, the
+first name or trade if it is one of those listed with their nicknames and short forms; a word that is on no list is a word like any
+other, so names are matched without lists too, only that their short forms are then unknown. A symmetric-delete index over
+all distinct words finds those a few letters apart: two words within two edits share a string after at most two deletions
+each. Readings that share their rarest words, or spellings of them, are compared word by word: the best assignment of the words
+of one to those of the other, each weighing by its rarity, where an initial stands for a word and an abbreviation or nickname
+for its name. Order doesn't matter. A reading follows the best one that fits and whose word is seen in far more records (see ``rarer``);
+words of like support are established names of their own. An incomplete reading (initial, no trade, no first name)
+joins a full one only if exactly one fits.
+
+Everything runs on distinct words and readings, so copies and hot names don't multiply the comparisons; words many names
+share meet in pairs of words only; only the final rows hold pairs.
+
+Defined results: null, blank and stand-in names take no part; words of any length are compared (more than 64 letters through
+pieces, of which two words within two edits share one); names in other scripts are compared by their words as written; a
+record with several names may belong to each of their readings; repeated rows count once; a record is never paired
+with itself; an empty table gives no pairs.
 """
 
 from __future__ import annotations
@@ -30,10 +34,18 @@ from pyspark.sql import types as T
 
 from weftline.functions.values import is_usable
 from weftline.llm.components import chain_ends
-from weftline.runtime import cut, spread
+from weftline.runtime import spread, written
 
-#: Letters of the longest core for which spellings are searched; longer ones match as they are only.
+#: Letters of the longest word that is indexed by deletions; longer ones are indexed by pieces, to the same effect.
 LONGEST = 64
+#: Share of the rarest word's weight from which a word of a name must be met by the other name.
+HEAVY = 0.5
+#: What an aside counts of a word's weight.
+ASIDE = 0.25
+#: Words of a name, the rarest, of which two names with several must share two.
+KEYED = 4
+#: Share of the weight of the lighter name that must be met, and of the other one if both are full.
+MET, MET_FULL, MET_PART = 0.7, 0.75, 0.5
 
 # First names with their short forms and nicknames.
 NICKNAMES = {
@@ -58,7 +70,8 @@ LEGAL = (
 )
 TITLES = r"\bdipl\.?\s*-?\s*ing\b\.?|\bdr\b\.?|\bprof\b\.?|\bherr\b|\bfrau\b|\bdj\b|\bmc\b|\bmr\b\.?|\bms\b\.?|\bmrs\b\.?|\bfreelancer\b|\bfreiberufler(?:in)?\b"
 _QUOTED = re.compile(r"[„“\"»]([^„“”\"«»]{4,})[“”\"«]")
-_BREAK = re.compile(r"[^a-z0-9.$@€]+")
+_BREAK = re.compile(r"[^\w.$@€]+|_")
+_ASIDE = re.compile(r"[(\[][^)\]]*[)\]]")
 _LINKS = r"\bund\b|\band\b|\bu\b\.?|&|\+"
 _TITLE, _LEGAL, _LINK = re.compile(TITLES), re.compile("|".join(LEGAL)), re.compile(_LINKS)
 # Letters of other scripts that look like Latin ones.
@@ -116,8 +129,8 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def allowed(n: int) -> int:
-    """Edits allowed between cores of this length; none beyond ``LONGEST``, where no name is."""
-    return 0 if n > LONGEST or n < 5 else 2 if n >= 8 else 1
+    """Edits allowed between words of this length."""
+    return 0 if n < 5 else 2 if n >= 8 else 1
 
 
 _FIRST = {skeleton(fold(w)): set() for k, v in NICKNAMES.items() for w in (k, *v)}
@@ -142,6 +155,22 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
+def pieces(word: str, most: int) -> set[str]:
+    """Keys of which two long words within ``most`` edits share one: with most + 1 pieces, one is left whole by the edits.
+
+    Each word gives its own pieces, and what stands at their places, give or take ``most``, for all lengths it may be compared with.
+    """
+    out = set()
+    for n in range(len(word) - most, len(word) + most + 1):
+        for k in range(most + 1):
+            lo, hi = n * k // (most + 1), n * (k + 1) // (most + 1)
+            for shift in range(-most, most + 1):
+                part = word[max(0, lo + shift) : hi + shift]
+                if len(part) == hi - lo:
+                    out.add(f"{n}|{k}|{part}")
+    return out
+
+
 def _letters(word: str) -> int:
     """The letters of a word as bits."""
     bits = 0
@@ -186,19 +215,46 @@ def _first_of(s: str) -> set[str] | None:
     return _FIRST[near] if near else None
 
 
-def read_name(name: str) -> tuple[str, str, list[str]] | None:
-    """Kind (``p`` person, ``o`` organisation, ``?`` unknown), core and aspect; None if no core can be made out.
+def read_name(name: str) -> tuple[str, list[str], list[str]] | None:
+    """Kind (``p`` person, ``o`` organisation, ``?`` unknown), words and aspect; None if no word can be made out.
 
-    The aspect holds the first names a person may have, or ``x.`` for an initial, or the trade; it may be empty.
+    The aspect holds the first names a person may have, or ``x.`` for an initial, or the trade; it may be empty. Words in
+    brackets and after a legal form are asides and count only if there is nothing else.
     """
     text = fold(name)
     quoted = _QUOTED.search(text)
     text = _TITLE.sub(" ", text)
-    bare = _LEGAL.sub(" ", text)
+    bare = _LEGAL.sub(" \x00 ", text)
     lone, text = bare != text, bare
     for old, new in _PAIRS:
         text = old.sub(new, text)
-    words = [w for w in _BREAK.split(_LINK.sub(" ", text)) if w.strip(".")]
+    got = _read_words(_LINK.sub(" ", _after_form(_ASIDE.sub(" ", text)))) or _read_words(_LINK.sub(" ", text.replace("\x00", " ")))
+    if not got:
+        return None
+    firsts, trade, initial, rest, count = got
+    if quoted:
+        inner = [s for s in (skeleton(x) for x in re.split(r"[^a-z0-9]+", quoted[1])) if s in rest]
+        rest = inner + [s for s in rest if s not in inner]
+    if firsts:
+        return "p", rest, sorted(firsts)
+    if trade and not (initial and not lone and count <= 3 and trade in ("ton", "mix", "master")):
+        return "o", rest, [trade]
+    if lone:
+        return "o", rest, []
+    if initial:
+        return "p", rest, [initial + "."]
+    return "?", rest, []
+
+
+def _after_form(text: str) -> str:
+    """The text without what follows its legal form, if anything stands before it."""
+    head, _, tail = text.partition("\x00")
+    return head if _read_words(head) else f"{head} {tail}".replace("\x00", " ")
+
+
+def _read_words(text: str) -> tuple[set[str], str | None, str, list[str], int] | None:
+    """First names, trade, initial, other words in order and the number of all words; None without other words."""
+    words = [w for w in _BREAK.split(text) if w.strip(".")]
     firsts: set[str] = set()
     trade, initial, rest = None, "", []
     skip = False
@@ -216,6 +272,8 @@ def read_name(name: str) -> tuple[str, str, list[str]] | None:
             initial = initial or bare
             continue
         s = skeleton(bare.replace(".", ""))
+        if not s and not bare.isascii() and any(c.isalpha() for c in bare):
+            rest.append(bare.replace(".", ""))
         if not s or s in _FILLERS:
             continue
         t = _trade_of(s)
@@ -227,22 +285,9 @@ def read_name(name: str) -> tuple[str, str, list[str]] | None:
             firsts = f if not firsts or len(firsts) > 1 else firsts
             continue
         rest.append(s)
-    rest = [s for s in rest if len(s) >= 4] or [s for s in rest if len(s) >= 3]
-    if not rest:
-        return None
-    core = rest[0]
-    if quoted:
-        inner = [s for s in (skeleton(x) for x in re.split(r"[^a-z0-9]+", quoted[1])) if s in rest]
-        core = inner[0] if inner else core
-    if firsts:
-        return "p", core, sorted(firsts)
-    if trade and not (initial and not lone and words and len(words) <= 3 and trade in ("ton", "mix", "master")):
-        return "o", core, [trade]
-    if lone:
-        return "o", core, []
-    if initial:
-        return "p", core, [initial + "."]
-    return "?", core, []
+    least = lambda n: [s for s in rest if len(s) >= n or not s.isascii()]
+    rest = list(dict.fromkeys(least(4) or least(3)))
+    return (firsts, trade, initial, rest, len(words)) if rest else None
 
 
 def likeness(a: str, b: str) -> float:
@@ -257,34 +302,85 @@ def likeness(a: str, b: str) -> float:
     return 1.0 - d / max(len(a), len(b)) if d <= most else 0.0
 
 
-def assign(a: list[list[str]], b: list[list[str]]) -> float:
-    """The best total likeness of a one-to-one assignment of tokens, over the shorter name's length.
+def assign(gain: list[list[float]]) -> list[int]:
+    """The column of each row, -1 for none, so that the sum of the gains is greatest (exact, by augmenting paths)."""
+    n, m = len(gain), len(gain[0]) if gain else 0
+    if not n or not m:
+        return [-1] * n
+    if n > m:
+        turned = assign([list(x) for x in zip(*gain, strict=True)])
+        out = [-1] * n
+        for j, i in enumerate(turned):
+            if i >= 0:
+                out[i] = j
+        return out
+    far = float("inf")
+    row_cost, col_cost, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j = i, 0
+        slack, back, done = [far] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while owner[j]:
+            done[j] = True
+            r, step, nxt = owner[j], far, 0
+            for k in range(1, m + 1):
+                if done[k]:
+                    continue
+                c = -gain[r - 1][k - 1] - row_cost[r] - col_cost[k]
+                if c < slack[k]:
+                    slack[k], back[k] = c, j
+                if slack[k] < step:
+                    step, nxt = slack[k], k
+            for k in range(m + 1):
+                if done[k]:
+                    row_cost[owner[k]] += step
+                    col_cost[k] -= step
+                else:
+                    slack[k] -= step
+            j = nxt
+        while j:
+            owner[j] = owner[back[j]]
+            j = back[j]
+    out = [-1] * n
+    for k in range(1, m + 1):
+        if owner[k] and gain[owner[k] - 1][k - 1] > 0:
+            out[owner[k] - 1] = k - 1
+    return out
+
+
+def likeness_of(a: list[tuple[float, str]], aspect_a: list[str], b: list[tuple[float, str]], aspect_b: list[str]) -> tuple[float, float]:
+    """The shares of weight two names meet of each other: of the lighter and of the heavier one; zeros where aspects contradict.
 
-    A token is a list of alternatives (the names a nickname may stand for). Names have few tokens, so the assignment is
-    solved exactly over subsets.
+    Names are (weight, word) pairs. Of the heavier name only its rare words count (see ``HEAVY``). An initial beside a name
+    without aspect must stand for one of its words.
     """
-    if len(a) > len(b):
+    if aspect_a and aspect_b and max(likeness(x, y) for x in aspect_a for y in aspect_b) < 0.9:
+        return 0.0, 0.0
+    if len(a) == len(b) == 1 and (not aspect_a) == (not aspect_b):
+        like = likeness(a[0][1], b[0][1])
+        return like, like
+    for one, aspect, other, there in ((a, aspect_a, b, aspect_b), (b, aspect_b, a, aspect_a)):
+        if not there and aspect and aspect[0].endswith(".") and len(other) > 1:
+            mean = sum(w for w, _ in one) / len(one)
+            if one is a:
+                a = [*a, (mean, aspect[0])]
+            else:
+                b = [*b, (mean, aspect[0])]
+    if sum(w for w, _ in a) > sum(w for w, _ in b):
         a, b = b, a
-    if not a:
-        return 0.0
-    best = {0: 0.0}
-    for token in a:
-        nxt: dict[int, float] = {}
-        for used, total in best.items():
-            for k, other in enumerate(b):
-                if not used >> k & 1:
-                    s = total + max((likeness(x, y) for x in token for y in other), default=0.0)
-                    if s > nxt.get(used | 1 << k, -1.0):
-                        nxt[used | 1 << k] = s
-        best = nxt
-    return max(best.values()) / len(a)
+    like = [[likeness(x, y) for _, y in b] for _, x in a]
+    at = assign([[x * min(wa, wb) for x, (wb, _) in zip(row, b, strict=True)] for row, (wa, _) in zip(like, a, strict=True)])
+    met_a = sum(wa * like[i][j] for i, ((wa, _), j) in enumerate(zip(a, at, strict=True)) if j >= 0)
+    least = HEAVY * max(w for w, _ in b)
+    held = {j: like[i][j] for i, j in enumerate(at) if j >= 0}
+    met_b = sum(w * held.get(j, 0.0) for j, (w, _) in enumerate(b) if w >= least)
+    return met_a / sum(w for w, _ in a), met_b / sum(w for w, _ in b if w >= least)
 
 
-READING = "kind string, core string, aspect array<string>"
+READING = "kind string, words array<string>, aspect array<string>"
 
 
 def read_names(rows: DataFrame, name: str = "name") -> DataFrame:
-    """``rows`` with the reading (``kind``, ``core``, ``aspect``) of every usable name that has one."""
+    """``rows`` with the reading (``kind``, ``words``, ``aspect``) of every usable name that has one."""
     keep = [c for c in rows.columns if c != name]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != name), READING])
 
@@ -302,52 +398,57 @@ def read_names(rows: DataFrame, name: str = "name") -> DataFrame:
             out = pdf.loc[ok, keep].reset_index(drop=True)
             got = [g for g in got if g is not None]
             if got:
-                yield out.assign(kind=[g[0] for g in got], core=[g[1] for g in got], aspect=[g[2] for g in got])
+                yield out.assign(kind=[g[0] for g in got], words=[sorted(g[1]) for g in got], aspect=[g[2] for g in got])
 
     return rows.filter(is_usable(F.col(name))).mapInPandas(run, schema)
 
 
-def core_neighbours(cores: DataFrame) -> DataFrame:
-    """``core``, ``other`` and ``d`` for every two distinct cores within the allowed edits, at least one of them weak.
+def _cuts(word: Column) -> Column:
+    """``deletions`` of a word of at most ``LONGEST`` letters, as hashes, in built-in expressions."""
+    drop = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    one, n = drop(word), F.length(word)
+    made = F.when(n < 5, F.array(word)).when(n < 8, F.concat(F.array(word), one)).otherwise(F.concat(F.array(word), one, F.flatten(F.transform(one, drop))))
+    return F.array_distinct(F.transform(made, lambda s: F.xxhash64(s)))
 
-    ``cores`` has ``core`` and ``strong``. The deletion strings travel as hashes; a pair is checked exactly.
-    """
 
-    def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            core, strong, cut_ = [], [], []
-            for c, s in zip(pdf["core"], pdf["strong"], strict=True):
-                made = deletions(c, allowed(len(c)))
-                core += [c] * len(made)
-                strong += [s] * len(made)
-                cut_ += made
-            if core:
-                yield pd.DataFrame({"core": core, "strong": strong, "cut": cut_})
-
-    index = spread(cores.select("core", "strong")).mapInPandas(strings, "core string, strong boolean, cut string").select("core", "strong", F.xxhash64("cut").alias("cut"))
-    other = index.select("cut", F.col("core").alias("other"), F.col("strong").alias("other_strong"))
-    near = index.filter("not strong").join(other, "cut").filter("core <> other").select("core", "other").distinct()
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pieces(words: pd.Series) -> pd.Series:
+    return pd.Series([sorted(pieces(w, 2)) for w in words])
+
+
+def core_neighbours(words: DataFrame) -> DataFrame:
+    """``core``, ``other`` and ``d`` for every two different words (``core``) within the allowed edits, both ways.
+
+    Words travel as numbers and deletion strings as hashes; what meets is checked exactly by its text. Both sides of the
+    index are one exchange, joined by merging.
+    """
+    text = words.select("core").distinct().withColumn("id", F.xxhash64("core"))
+    short, long_ = text.filter(F.length("core") <= LONGEST), text.filter(F.length("core") > LONGEST)
+    index = short.select("id", F.explode(_cuts(F.col("core"))).alias("cut")).unionByName(long_.select("id", F.explode(F.transform(_pieces("core"), lambda x: F.xxhash64(x))).alias("cut")))
+    met = index.join(index.select(F.col("id").alias("id2"), "cut").hint("merge"), "cut").filter("id < id2").select("id", "id2").distinct()
+    pairs = met.join(text.hint("merge"), "id").join(text.select(F.col("core").alias("other"), F.col("id").alias("id2")).hint("merge"), "id2").select("core", "other")
+    # two edits with swaps are up to four without, but then the letters are nearly the same
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    close = pairs.filter((F.levenshtein("core", "other", 2) >= 0) | (F.levenshtein(letters("core"), letters("other"), 2) >= 0))
 
     @F.pandas_udf(T.IntegerType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([edits(x, y, min(allowed(len(x)), allowed(len(y)))) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    limit = lambda c: F.when((F.length(c) > LONGEST) | (F.length(c) < 5), 0).when(F.length(c) >= 8, 2).otherwise(1)
-    return near.withColumn("d", distance("core", "other")).filter(F.col("d") <= F.least(limit("core"), limit("other")))
+    limit = lambda c: F.when(F.length(c) < 5, 0).when(F.length(c) >= 8, 2).otherwise(1)
+    near = close.withColumn("d", distance("core", "other")).filter(F.col("d") <= F.least(limit("core"), limit("other")))
+    return near.select(F.inline(F.array(F.struct("core", "other", "d"), F.struct(F.col("other").alias("core"), F.col("core").alias("other"), "d"))))
+
+
+_SHARES = T.StructType([T.StructField("light", T.DoubleType()), T.StructField("heavy", T.DoubleType())])
 
 
-@F.pandas_udf(T.DoubleType())
-def fit(core_a: pd.Series, aspect_a: pd.Series, core_b: pd.Series, aspect_b: pd.Series) -> pd.Series:
-    """The assignment score of two readings; an empty aspect takes no part."""
-    out = []
-    for ca, aa, cb, ab in zip(core_a, aspect_a, core_b, aspect_b, strict=True):
-        aa, ab = list(aa), list(ab)
-        a, b = [[ca]] + ([aa] if aa else []), [[cb]] + ([ab] if ab else [])
-        score = assign(a, b)
-        if aa and ab and max(likeness(x, y) for x in aa for y in ab) < 0.9:
-            score = 0.0
-        out.append(score)
-    return pd.Series(out, dtype="float64")
+@F.pandas_udf(_SHARES)
+def fit(words_a: pd.Series, weights_a: pd.Series, aspect_a: pd.Series, words_b: pd.Series, weights_b: pd.Series, aspect_b: pd.Series) -> pd.DataFrame:
+    """``likeness_of`` two readings."""
+    rows = zip(words_a, weights_a, aspect_a, words_b, weights_b, aspect_b, strict=True)
+    got = [likeness_of(list(zip(va, wa, strict=True)), list(aa), list(zip(vb, wb, strict=True)), list(ab)) for wa, va, aa, wb, vb, ab in rows]
+    return pd.DataFrame(got, columns=["light", "heavy"], dtype="float64")
 
 
 def is_full(kind: Column, aspect: Column) -> Column:
@@ -364,38 +465,96 @@ def rarer(n: str, t_n: str) -> str:
     return f"({n} <= {t_n} / 2 + sqrt({t_n}))"
 
 
+def weigh_readings(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct readings with the weights of their words, and every word with its spellings (``core``, ``other``, ``d``).
+
+    A word weighs by its rarity, the logarithm of the readings there are to each that holds it or a spelling of it, so that
+    a slip of a common word is as light as the word. Beside a first name or trade, a word that never stands alone and goes with
+    different words (a town) is an aside and counts a quarter. ``words`` come heaviest first; ``n`` is the number of
+    records of the heaviest, ``m`` of the reading, ``keys`` are the words it is found by.
+    """
+    tokens = written(held.select("id", "rid", F.explode("words").alias("core")).groupBy("core").agg(F.count_distinct("id").alias("n"), F.count_distinct("rid").alias("df")))
+    near = core_neighbours(tokens).unionByName(tokens.select("core", F.col("core").alias("other"), F.lit(0).alias("d")))
+    near = written(near)
+    spelt = near.join(tokens.select(F.col("core").alias("other"), F.col("n").alias("on"), "df").hint("merge"), "other").groupBy("core")
+    spelt = spelt.agg(F.max("df").alias("eff"), F.max_by("other", F.struct("on", "other")).alias("main"))
+    one = written(held.groupBy("rid", "kind", "words", "aspect").agg(F.count_distinct("id").alias("m")))
+    weight = F.log1p(F.lit(float(one.count())) / F.col("eff"))
+    known = tokens.join(spelt.hint("merge"), "core").select("core", "n", "main", weight.alias("w"))
+    each = one.select("rid", "kind", F.explode("words").alias("core")).join(known.hint("merge"), "core")
+    by = written(each.groupBy("rid", "kind").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "core", "n", "main"))).alias("x")))
+
+    place = by.select(F.size("x").alias("k"), F.get("x", F.lit(0))["main"].alias("first"), F.get("x", F.lit(1))["main"].alias("second"), F.posexplode("x").alias("p", "t"))
+    use = place.groupBy(F.col("t.core").alias("other")).agg(F.count_if(F.col("k") == 1).alias("alone"), F.count_distinct(F.when(F.col("p") == 0, F.col("second")).otherwise(F.col("first"))).alias("beside"))
+    aside = near.join(use.hint("merge"), "other").groupBy("core").agg(F.max("alone").alias("alone"), F.max("beside").alias("beside")).filter("alone = 0 and beside > 1").select("core", F.lit(ASIDE).alias("share"))
+    flat = by.select("rid", "kind", F.inline("x")).join(aside.hint("merge"), "core", "left")
+    share = F.when(F.col("kind") == "?", 1.0).otherwise(F.coalesce("share", F.lit(1.0)))
+    by = flat.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((F.col("w") * share).alias("w"), "core", "n"))).alias("x"))
+    heavy = F.slice(F.filter("x", lambda t: t["w"] <= F.get("x", F.lit(0))["w"] * HEAVY), 1, KEYED)
+    laid = one.select("rid", "kind", "aspect", "m").join(by.hint("merge"), "rid").select(
+        "rid", "kind", "aspect", "m", F.get("x", F.lit(0))["n"].alias("n"), F.transform("x", lambda t: t["core"]).alias("words"), F.transform("x", lambda t: -t["w"]).alias("weights"), F.transform(heavy, lambda t: t["core"]).alias("keys")
+    )
+    full = is_full(F.col("kind"), F.col("aspect")) | ((F.col("kind") == "?") & (F.size("keys") > 1))
+    return written(laid.withColumn("full", full)), near
+
+
+def _keys(words: Column, k: Column, probing: bool) -> Column:
+    """Keys of a reading from its heavy words (structs of place and word).
+
+    Of two readings with several heavy words each two must meet; a reading with a single one meets all that hold it.
+    """
+    lone, any_ = F.transform(words, lambda x: F.xxhash64(F.lit(1), x["w"])), F.transform(words, lambda x: F.xxhash64(F.lit(2), x["w"]))
+    first, second = (lone, any_) if probing else (any_, lone)
+    two = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: y["p"] > x["p"]), lambda y: F.xxhash64(F.lit(3), F.least(x["w"], y["w"]), F.greatest(x["w"], y["w"])))))
+    # key 1: probing readings with one word and all targets; key 2: all probing ones and targets with one word
+    return F.array_distinct(F.when(k == 1, F.concat(first, second)).otherwise(F.concat(second, two)))
+
+
+def reading_pairs(readings: DataFrame, near: DataFrame) -> DataFrame:
+    """``rid`` and ``t``: every reading with the full readings whose rare words are spellings of its own."""
+    k = F.size("keys")
+    probe = readings.select("rid", k.alias("k"), F.posexplode("keys").alias("p", "core")).join(near.hint("merge"), "core")
+    spelt = probe.groupBy("rid", "k").agg(F.collect_list(F.struct("p", F.col("other").alias("w"))).alias("x"))
+    probing = spelt.select("rid", F.explode(_keys(F.col("x"), F.col("k"), True)).alias("key"))
+    own = F.transform("keys", lambda w, p: F.struct(p.alias("p"), w.alias("w")))
+    target = readings.filter("full").select(F.col("rid").alias("t"), own.alias("x"), k.alias("k")).select("t", F.explode(_keys(F.col("x"), F.col("k"), False)).alias("key"))
+    return probing.join(target.hint("merge"), "key").filter("rid <> t").select("rid", "t").distinct()
+
+
 def name_entities(records: DataFrame) -> DataFrame:
-    """``id`` and ``entity`` of every record (``id``, ``kind``, ``core``, ``aspect``) whose name says who is meant.
+    """``id`` and ``entity`` of every record (``id``, ``kind``, ``words``, ``aspect``) whose name says who is meant.
 
-    An entity is known by kind, leading core and aspect; an incomplete reading without exactly one fitting entity stands
-    for itself under its own spelling.
+    An entity is known by its leading reading; an incomplete reading without exactly one fitting entity stands for itself
+    under its own spelling.
     """
-    rid = F.xxhash64("kind", "core", "aspect")
-    held = cut(records.select("id", "kind", "core", "aspect").distinct().withColumn("rid", rid))
-    counts = held.groupBy("core").agg(F.count_distinct("id").alias("n"))
-    cores = cut(counts.withColumn("strong", F.lit(False)))  # any core may be a slip of a more frequent one
-    readings = cut(held.select("rid", "kind", "core", "aspect").distinct().join(cores, "core").withColumn("full", is_full(F.col("kind"), F.col("aspect"))))
-    near = cut(core_neighbours(cores))
-
-    full = readings.filter("full")
-    target = full.select(F.col("rid").alias("t"), F.col("kind").alias("t_kind"), F.col("core").alias("other"), F.col("aspect").alias("t_aspect"), F.col("n").alias("t_n"))
-    # a rarer full reading follows the closest reading of the same kind and aspect
-    weak = full.join(near, "core").join(target, "other").filter("kind = t_kind")
-    weak = weak.withColumn("score", fit("core", "aspect", "other", "t_aspect")).filter("score >= 0.75 and (t_n > n or (t_n = n and other < core))").filter(rarer("n", "t_n"))
-    follow = weak.groupBy("rid").agg(F.min_by("t", F.struct("d", -F.col("t_n"), "other", "t")).alias("t"))
-    hop = cut(full.select("rid").join(follow, "rid", "left").select("rid", F.coalesce("t", "rid").alias("t")))
-    leader = chain_ends(hop, "rid", "t").withColumnRenamed("t", "entity")
-
-    # an incomplete reading looks at its own core and at the neighbours that are seen more
-    part = readings.filter("not full").select("rid", "kind", "core", "aspect", "n")
-    looks = part.select("*", F.col("core").alias("other"), F.lit(0).alias("d")).unionByName(part.join(near, "core").select(*part.columns, "other", "d"))
-    fits = looks.join(target, "other").filter("kind = t_kind or kind = '?'").filter("d = 0 or " + rarer("n", "t_n")).withColumn("score", fit("core", "aspect", "other", "t_aspect")).filter("score >= 0.75")
-    fits = fits.join(leader.select(F.col("rid").alias("t"), "entity"), "t")
-    best = fits.groupBy("rid", "d").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).groupBy("rid").agg(F.min_by(F.struct("lo", "hi"), "d").alias("e"))
+    rid = F.xxhash64("kind", "words", "aspect")
+    held = written(records.select("id", "kind", "words", "aspect").distinct().withColumn("rid", rid))
+    readings, near = weigh_readings(held)
+    cols = ("kind", "words", "weights", "aspect", "n", "m", "full")
+    side = lambda x, p: readings.select(F.col("rid").alias(x), *[F.col(c).alias(p + c) for c in cols])
+    both = reading_pairs(readings, near).join(side("rid", "a_").hint("merge"), "rid").join(side("t", "t_").hint("merge"), "t")
+    both = both.filter("a_kind = t_kind or a_kind = '?' or t_kind = '?'")
+    both = both.withColumns({"a_core": F.get("a_words", F.lit(0)), "t_core": F.get("t_words", F.lit(0))})
+    scored = both.withColumn("s", fit("a_words", "a_weights", "a_aspect", "t_words", "t_weights", "t_aspect"))
+    same = F.array_contains("t_words", F.col("a_core")) | F.array_contains("a_words", F.col("t_core"))
+    least = F.when(F.col("a_full"), MET_FULL).otherwise(MET_PART)
+    fits = scored.filter((F.col("s.light") >= MET) & (F.col("s.heavy") >= least) & (same | F.expr(rarer("a_n", "t_n"))))
+    fits = written(fits.select("rid", "t", "a_full", "a_kind", "t_kind", "a_n", "a_m", "t_n", "t_m", "a_core", "t_core", same.alias("same"), (F.col("s.light") + F.col("s.heavy")).alias("score")))
+
+    # a rarer full reading follows the closest reading of its kind
+    ahead = fits.filter("a_full and a_kind = t_kind and (t_n > a_n or t_n = a_n and (t_core < a_core or t_core = a_core and (t_m > a_m or t_m = a_m and t > rid)))")
+    follow = ahead.groupBy("rid").agg(F.min_by("t", F.struct(-F.col("score"), -F.col("t_n"), "t_core", -F.col("t_m"), "t")).alias("t"))
+    full = readings.filter("full").select("rid")
+    leader = chain_ends(full.join(follow.hint("merge"), "rid", "left").select("rid", F.coalesce("t", "rid").alias("t")), "rid", "t").withColumnRenamed("t", "entity")
+
+    # an incomplete reading joins the one entity that holds its own word, or else its nearest spellings
+    part = fits.filter("not a_full and (a_kind = t_kind or a_kind = '?' or t_kind = '?')").join(leader.select(F.col("rid").alias("t"), "entity").hint("merge"), "t")
+    best = part.groupBy("rid", "same").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).groupBy("rid").agg(F.max_by(F.struct("lo", "hi"), F.col("same").cast("int")).alias("e"))
+    best = written(best)
     joined = best.filter("e.lo = e.hi").select("rid", F.col("e.lo").alias("entity"))
-    alone = part.select("rid").join(best, "rid", "left_anti").select("rid", F.col("rid").alias("entity"))
+    alone = readings.filter("not full").select("rid").join(best.hint("merge"), "rid", "left_anti").select("rid", F.col("rid").alias("entity"))
     where = leader.unionByName(joined).unionByName(alone)
-    return held.join(where, "rid").select("id", "entity").distinct()
+    return held.select("id", "rid").join(where.hint("merge"), "rid").select("id", "entity").distinct()
 
 
 def named_records(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -408,9 +567,9 @@ def named_records(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """``record_a`` < ``record_b`` of every seed and other record named as one person or organisation."""
     seeds, candidates = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("manual_seeds", "candidates"))
-    records = cut(read_names(spread(named_records(seeds, candidates))))
+    records = written(read_names(spread(named_records(seeds, candidates))))
     entity = name_entities(records)
-    at = cut(entity.join(records.select("id", "seed").distinct(), "id"))
+    at = written(entity.join(records.select("id", "seed").distinct(), "id"))
     mine = at.filter("seed").select("entity", F.col("id").alias("x"))
     other = at.select("entity", F.col("id").alias("y"))
     return mine.join(other, "entity").filter("x <> y").select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).distinct()

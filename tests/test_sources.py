@@ -114,3 +114,34 @@ def test_map_queries_and_features(spark):
     docs = ['{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[]}},{"type":"Feature","geometry":null}]}', '{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]}}', '{"type":"MultiPolygon","coordinates":[]}']
     df = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "id int, content string")
     assert [(r.id, r.position, r.type) for r in maps.feature_geometries(df).orderBy("id", "position").collect()] == [(0, 0, "Polygon"), (0, 1, None), (1, 0, "Point"), (2, 0, "MultiPolygon")]
+
+
+def test_robots_groups():
+    from weftline.sources.web import root_access, robots_records
+
+    read = lambda text, agent="weftline/1": root_access(list(robots_records(text)), agent)
+    assert read("") == (True, None) and read("User-agent: *\nDisallow: /\nCrawl-delay: 4 # s\n") == (False, 4)
+    assert read("User-agent: other\nUser-agent: Weftline\nDisallow:\nCrawl-delay: x\n\nUser-agent: *\nDisallow: /") == (True, None)
+    assert read("User-agent: *\nAllow: /\nDisallow: /") == (True, None) and read("Disallow: /") == (True, None)
+    assert read("User-agent: *\nDisallow: /private") == (True, None) and read("User-agent: a\n\nDisallow: /\nUser-agent: *\nDisallow: *") == (False, None)
+
+
+def test_addresses_taken_apart():
+    from weftline.functions.url import is_canonical, normalize_url, observed_url
+
+    assert normalize_url("HTTPS://Müller.example:443/a/./b/../c//d/?z=1&a=%20x&utm=2#f", frozenset({"utm"})) == "https://xn--mller-kva.example/a/c/d/?a=+x&z=1"
+    assert normalize_url("http://[::1]:8080") == "http://[::1]:8080/" and observed_url(" http://a.example:80/x?q=%41#y") == "http://a.example/x?q=%41"
+    for bad in (None, "", "ftp://a/", "//a/", "http:///x", "http://u@a/", "http://a:0/", "http://a:70000/", "http://a b\n/", "http://a..b/", "x" * 5000):
+        assert normalize_url(bad) is None
+    assert is_canonical("https://a.example/") and not is_canonical("https://a.example")
+
+
+def test_microdata_fields():
+    from weftline.operators.extract import page_fields
+
+    html = """<div itemscope itemtype="https://schema.org/LocalBusiness"><span itemprop="name">Ton  <b>Haus</b></span><meta itemprop="telephone" content="+49301">
+    <div itemprop="address" itemscope itemtype="https://schema.org/PostalAddress"><span itemprop="streetAddress">Weg 1</span><span itemprop="addressCountry">de</span></div>
+    <a itemprop="sameAs" href="https://instagram.com/x">i</a></div>"""
+    got = {(f["field_key"], f["locator"]): f["text"] or f["values"] for f in page_fields(html) if f["locator_kind"] == "json_pointer"}
+    assert got == {("schema_type", "/microdata/0/@type"): "LocalBusiness", ("display_name", "/microdata/0/name/0"): "Ton Haus", ("phone", "/microdata/0/telephone/0"): "+49301",
+                   ("address", "/microdata/0/address/0"): ["Weg 1", "", "", "", "DE"], ("instagram", "/microdata/0/sameAs/0"): "https://instagram.com/x"}

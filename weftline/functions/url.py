@@ -7,8 +7,9 @@ runs as vectorised Python.
 from __future__ import annotations
 
 import ipaddress
-from posixpath import normpath
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+import re
+from typing import NamedTuple
+from urllib.parse import quote_plus, unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,51 +17,89 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_URL = 4_096
-_DEFAULT_PORTS = {"http": 80, "https": 443}
+# The parts of an address as RFC 3986 gives them (scheme, authority, path, query), and the ports of schemes.
+_PARTS = re.compile(r"([^:/?#]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?", re.DOTALL)
+_PORTS = {"http": "80", "https": "443"}
+_SITE = re.compile(r"(?P<host>\[[0-9A-Fa-f:.]+\]|[^@:\[\]]+)(?::(?P<port>[0-9]*))?")
+_CONTROL = re.compile(r"[\x00-\x1f]")
 
 
-def _split(url: str | None):
-    """Scheme, host in IDNA and port part of a web address, with its split parts; None for anything that isn't one."""
-    if not url or len(url) > MAX_URL or any(ord(c) < 32 for c in url):
+class Address(NamedTuple):
+    """A web address taken apart: ``site`` is the host in IDNA, with the port unless it is the scheme's own."""
+
+    scheme: str
+    site: str
+    path: str
+    query: str
+
+    @property
+    def origin(self) -> str:
+        return f"{self.scheme}://{self.site}"
+
+    def text(self, path: str, query: str) -> str:
+        return self.origin + path + (f"?{query}" if query else "")
+
+
+def read_address(url: str | None) -> Address | None:
+    """The parts of a web address without user and fragment; None for anything else."""
+    if not url or len(url) > MAX_URL or _CONTROL.search(url):
+        return None
+    whole = _PARTS.fullmatch(url.lstrip(" "))
+    if not whole or whole[1].lower() not in _PORTS:
         return None
-    try:
-        parts = urlsplit(url)
-        port = parts.port
-        host = (parts.hostname or "").encode("idna").decode("ascii").lower()
-    except (ValueError, UnicodeError):
+    scheme, site = whole[1].lower(), _SITE.fullmatch(whole[2])
+    if not site:
         return None
-    scheme = parts.scheme.lower()
-    if scheme not in _DEFAULT_PORTS or "@" in parts.netloc or not host or port == 0:
+    host, port = site["host"], (site["port"] or "").lstrip("0")
+    if site["port"] and not port or len(port) > 5 or int(port or 1) > 65_535:
         return None
-    return scheme, host if port in (None, _DEFAULT_PORTS[scheme]) else f"{host}:{port}", parts
+    if not host.startswith("["):
+        try:
+            host = host.encode("idna").decode("ascii")
+        except UnicodeError:
+            return None
+    own = port in ("", _PORTS[scheme])
+    return Address(scheme, host.lower() if own else f"{host.lower()}:{port}", whole[3], whole[4] or "")
 
 
 def plain_path(path: str) -> str:
-    """Absolute path without dot segments and back slashes; a closing slash is kept."""
-    flat = normpath("/" + path.replace("\\", "/")).replace("//", "/", 1) if path else "/"
-    return flat + "/" if path.endswith("/") and flat != "/" else flat
+    """Absolute path without empty and dot segments and back slashes; a closing slash is kept."""
+    kept: list[str] = []
+    for part in path.replace("\\", "/").split("/"):
+        if part == "..":
+            del kept[-1:]
+        elif part not in ("", "."):
+            kept.append(part)
+    return "/" + "/".join(kept) + ("/" if kept and path.endswith("/") else "")
+
+
+def plain_query(query: str, tracking: frozenset[str]) -> str:
+    """The parameters of a query in order of their names and values, without those for tracking."""
+    named = [tuple(map(unquote_plus, item.partition("=")[::2])) for item in query.split("&") if item]
+    return "&".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in sorted(named) if k.casefold() not in tracking)
 
 
 def normalize_url(url: str | None, tracking: frozenset[str] = frozenset()) -> str | None:
     """The canonical form of a web address: no fragment, default port or tracking parameters, sorted query; None if invalid."""
-    got = _split(url)
-    if got is None:
-        return None
-    scheme, netloc, parts = got
-    query = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.casefold() not in tracking)
-    return urlunsplit((scheme, netloc, plain_path(parts.path), urlencode(query), ""))
+    at = read_address(url)
+    return at and at.text(plain_path(at.path), plain_query(at.query, tracking))
 
 
 def observed_url(url: str | None) -> str | None:
     """The form kept as an observed value: path and query as written, fragment and default port dropped; None if invalid."""
-    got = _split(url)
-    return None if got is None else urlunsplit((got[0], got[1], got[2].path or "/", got[2].query, ""))
+    at = read_address(url)
+    return at and at.text(at.path or "/", at.query)
 
 
 def origin(url: str | None) -> str | None:
     """Scheme and host of a web address; None if invalid."""
-    got = _split(url)
-    return None if got is None else f"{got[0]}://{got[1]}"
+    at = read_address(url)
+    return at and at.origin
+
+
+def is_canonical(url: str | None, tracking: frozenset[str] = frozenset()) -> bool:
+    """True for an address that is its own canonical form."""
+    return url is not None and normalize_url(url, tracking) == url
 
 
 def url_normalized(url: Column, tracking: tuple[str, ...] = ()) -> Column:

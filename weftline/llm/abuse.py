@@ -171,24 +171,27 @@ def best_segment(scores: list[float]) -> float:
 
 
 def all_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) in linear time: none can be made better by growing or shrinking."""
-    stack: list[list[float]] = []  # start, end, sum before, sum after
+    """All maximal scoring segments (start, end, score) in linear time: none can be made better by growing or shrinking.
+
+    Every segment keeps where the last one stands that begins lower, so no segment is looked at twice on the way back.
+    """
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, last that begins lower
     total = 0.0
     for k, s in enumerate(scores):
-        before, total = total, total + s
+        low, total = total, total + s
         if s <= 0:
             continue
-        cur = [k, k + 1, before, total]
+        start, j = k, len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= cur[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= cur[3]:
-                stack.append(cur)
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= total:
+                stack.append((start, k + 1, low, total, j))
                 break
-            cur = [stack[j][0], cur[1], stack[j][2], cur[3]]
+            start, _, low, _, back = stack[j]
             del stack[j:]
-    return [(int(a), int(b), d - c) for a, b, c, d in stack]
+            j = back
+    return [(a, b, d - c) for a, b, c, d, _ in stack]
 
 
 def reviewed(labels: DataFrame) -> DataFrame:

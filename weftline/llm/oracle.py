@@ -37,4 +37,10 @@ walk(x, y) using key (x) as (select x, min(least(x, y)) from g group by 1
 select x as record_id, y as group_id from walk
 """
 
-SQL = {"p2_found": P2_FOUND, "p4_found": P4_FOUND}
+P2_OBSERVATIONS = f"""
+with m as (select distinct cluster_id, {_ID.format('m')} as cid from (select cluster_id, unnest(member_candidate_ids) as m from prior_clusters)),
+c as (select distinct {_ID.format('candidate_id')} as cid, observation_id from (select candidate_id, unnest(observation_ids) as observation_id from candidates))
+select distinct cluster_id, observation_id from m join c using (cid) where observation_id is not null
+"""
+
+SQL = {"p2_found": P2_FOUND, "p2_observations": P2_OBSERVATIONS, "p4_found": P4_FOUND}

@@ -10,6 +10,7 @@ NAMES = {
     "p1_found": "names",
     "p2_found": "survivor",
     "p2_survivors": "survivor",
+    "p2_observations": "survivor",
     "p3_found": "addresses",
     "p4_found": "components",
     "p6_found": "entities",

@@ -195,7 +195,7 @@ def slide(keys: DataFrame, window: int = WINDOW) -> DataFrame:
 
     made = cut(laid.mapInPandas(run, schema))
     # a few places of every task: one task can put them side by side
-    seam = made.filter("part >= 0").select("part", "place", "rid", "tag").coalesce(1).mapInPandas(join, "a long, b long, same boolean")
+    seam = made.filter("part >= 0").select("part", "place", "rid", "tag").repartition(1).mapInPandas(join, "a long, b long, same boolean")
     return made.filter("part = -1").select("a", "b", "same").unionByName(seam)
 
 
@@ -228,7 +228,7 @@ def near_readings(readings: DataFrame) -> DataFrame:
     cores = cut(readings.select("core").distinct())
     near = core_neighbours(cores).filter("core < other").select("core", "other").unionByName(cores.select("core", F.col("core").alias("other")))
     side = lambda x, core: readings.select(F.col("rid").alias(x), F.col("core").alias(core), F.col("kind").alias(f"kind_{x}"), F.col("aspect").alias(f"aspect_{x}"))
-    both = near.join(side("a", "core"), "core").join(side("b", "other"), "other")
+    both = near.join(side("a", "core").hint("merge"), "core").join(side("b", "other").hint("merge"), "other")
     both = both.filter("a <> b and (kind_a = kind_b or kind_a = '?' or kind_b = '?')").filter(_AGREES)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -248,10 +248,10 @@ def shared_contacts(held: DataFrame) -> DataFrame:
         each = part if each is None else each.unionByName(part)
     each = each.distinct()
     sizes = each.groupBy("field", "v").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    each = cut(each.join(sizes, ["field", "v"]))
+    each = cut(each.join(sizes.hint("merge"), ["field", "v"]))
     few, many = each.filter(F.col("k") <= FEW), each.filter(F.col("k") > FEW)
     rid = lambda df, x, *keys: df.select("field", "v", *keys, F.col("rid").alias(x))
-    pairs = rid(few, "a").join(rid(few, "b"), ["field", "v"]).select("a", "b", "field")
+    pairs = rid(few, "a").join(rid(few, "b").hint("merge"), ["field", "v"]).select("a", "b", "field")
 
     def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -259,8 +259,8 @@ def shared_contacts(held: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"field": field, "v": v, "core": core, "cut": list(_core_keys(core))})
 
     busy = spread(many.select("field", "v", "core").distinct()).mapInPandas(strings, "field string, v string, core string, cut string").withColumn("cut", F.xxhash64("cut"))
-    met = busy.join(busy.withColumnRenamed("core", "other"), ["field", "v", "cut"]).filter("core <= other").select("field", "v", "core", "other").distinct()
-    more = met.join(rid(many, "a", "core"), ["field", "v", "core"]).join(rid(many, "b", F.col("core").alias("other")), ["field", "v", "other"]).select("a", "b", "field")
+    met = busy.join(busy.withColumnRenamed("core", "other").hint("merge"), ["field", "v", "cut"]).filter("core <= other").select("field", "v", "core", "other").distinct()
+    more = met.join(rid(many, "a", "core").hint("merge"), ["field", "v", "core"]).join(rid(many, "b", F.col("core").alias("other")).hint("merge"), ["field", "v", "other"]).select("a", "b", "field")
     return pairs.unionByName(more).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "field").distinct()
 
 
@@ -284,7 +284,7 @@ def match_readings(held: DataFrame, readings: DataFrame) -> DataFrame:
     met = met.unionByName(shared_contacts(held).select("a", "b", *[(F.col("field") == f).alias(f) for f in fields]))
     pairs = met.groupBy("a", "b").agg(*[F.bool_or(f).alias(f) for f in ("phones", "hosts", "mails")])
     side = lambda x: readings.select(F.col("rid").alias(x), F.col("kind").alias(f"kind_{x}"), F.col("core").alias(f"core_{x}"), F.col("aspect").alias(f"aspect_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("kind_a = kind_b or kind_a = '?' or kind_b = '?'")
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter("kind_a = kind_b or kind_a = '?' or kind_b = '?'")
     scored = both.withColumn("conf", confidence("core_a", "aspect_a", "core_b", "aspect_b", "phones", "hosts", "mails")).filter(F.col("conf") >= ACCEPT)
     return scored.select(F.col("a").alias("rid_a"), F.col("b").alias("rid_b"), "conf", F.expr("phones or hosts or mails").alias("contact"))
 
@@ -298,16 +298,16 @@ def group_readings(readings: DataFrame, links: DataFrame) -> DataFrame:
     both = links.select(F.inline(F.array(F.struct(F.col("rid_a").alias("rid"), F.col("rid_b").alias("t"), "conf", "contact"), F.struct(F.col("rid_b").alias("rid"), F.col("rid_a").alias("t"), "conf", "contact"))))
     info = readings.select("rid", "full", "n")
     to = info.select(F.col("rid").alias("t"), F.col("full").alias("t_full"), F.col("n").alias("t_n"))
-    at = cut(both.join(info, "rid").join(to, "t").filter("t_full"))
+    at = cut(both.join(info.hint("merge"), "rid").join(to.hint("merge"), "t").filter("t_full"))
     ahead = at.filter(f"full and ({rarer('n', 't_n')} or contact) and (t_n > n or (t_n = n and t < rid))")
     follow = ahead.groupBy("rid").agg(F.max_by(F.struct("t", "conf"), F.struct("conf", "t_n", "t")).alias("f")).select("rid", "f.t", "f.conf")
-    hop = cut(info.filter("full").select("rid").join(follow, "rid", "left").select("rid", F.coalesce("t", "rid").alias("t"), F.coalesce("conf", F.lit(1.0)).alias("conf")))
+    hop = cut(info.filter("full").select("rid").join(follow.hint("merge"), "rid", "left").select("rid", F.coalesce("t", "rid").alias("t"), F.coalesce("conf", F.lit(1.0)).alias("conf")))
     lead = chain_ends(hop, "rid", "t").select("rid", F.col("t").alias("entity"), "conf")
-    fits = at.filter("not full").join(lead.select(F.col("rid").alias("t"), "entity"), "t")
+    fits = at.filter("not full").join(lead.select(F.col("rid").alias("t"), "entity").hint("merge"), "t")
     best = fits.groupBy("rid", F.col("contact")).agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.max("conf").alias("conf"))
     best = best.groupBy("rid").agg(F.max_by(F.struct("lo", "hi", "conf"), F.col("contact").cast("int")).alias("e"))
     joined = best.filter("e.lo = e.hi").select("rid", F.col("e.lo").alias("entity"), F.col("e.conf").alias("conf"))
-    alone = info.filter("not full").select("rid").join(best, "rid", "left_anti").select("rid", F.col("rid").alias("entity"), F.lit(1.0).alias("conf"))
+    alone = info.filter("not full").select("rid").join(best.hint("merge"), "rid", "left_anti").select("rid", F.col("rid").alias("entity"), F.lit(1.0).alias("conf"))
     return lead.unionByName(joined).unionByName(alone)
 
 
@@ -316,7 +316,7 @@ def entity_members(candidates: DataFrame) -> DataFrame:
     held = cut(profiles(candidates).distinct().withColumn("rid", F.xxhash64("kind", "core", "aspect")))
     readings = cut(held.groupBy("rid", "kind", "core", "aspect").agg(F.count(F.lit(1)).alias("n")).withColumn("full", is_full(F.col("kind"), F.col("aspect"))))
     where = group_readings(readings, match_readings(held, readings))
-    return held.select("id", "source", "rid").join(where, "rid").groupBy("id", "entity").agg(F.min("source").alias("source"), F.max("conf").alias("conf"))
+    return held.select("id", "source", "rid").join(where.hint("merge"), "rid").groupBy("id", "entity").agg(F.min("source").alias("source"), F.max("conf").alias("conf"))
 
 
 def one_to_one(members: DataFrame) -> DataFrame:
@@ -329,16 +329,16 @@ def one_to_one(members: DataFrame) -> DataFrame:
     """
     sizes = members.groupBy("entity").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     order = ("entity", "source", F.desc("conf"), "id")
-    ranges = members.join(sizes, "entity").repartitionByRange(parallelism(members.sparkSession), *order)
+    ranges = members.join(sizes.hint("merge"), "entity").repartitionByRange(parallelism(members.sparkSession), *order)
     laid = cut(ranges.select("entity", "source", "conf", "id", F.spark_partition_id().alias("part")))
     held = laid.groupBy("entity", "source", "part").agg(F.count(F.lit(1)).alias("held"))
     before = Window.partitionBy("entity", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("entity", "source", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
     rank = Window.partitionBy("entity", "source", "part").orderBy(F.desc("conf"), "id")
-    slot = laid.withColumn("place", F.row_number().over(rank)).join(held, ["entity", "source", "part"])
+    slot = laid.withColumn("place", F.row_number().over(rank)).join(held.hint("merge"), ["entity", "source", "part"])
     slot = cut(slot.select("entity", (F.col("before") + F.col("place")).alias("slot"), "id", "source", "conf"))
     other = slot.select("entity", "slot", F.col("id").alias("id2"), F.col("source").alias("source2"), F.col("conf").alias("conf2"))
-    met = slot.join(other, ["entity", "slot"]).filter("source < source2 and id <> id2")
+    met = slot.join(other.hint("merge"), ["entity", "slot"]).filter("source < source2 and id <> id2")
     pairs = met.select(F.least("id", "id2").alias("candidate_a"), F.greatest("id", "id2").alias("candidate_b"), F.round(F.col("conf") * F.col("conf2"), 6).alias("confidence"), "entity")
     return pairs.groupBy("candidate_a", "candidate_b").agg(F.max("confidence").alias("confidence"), F.max_by("entity", "confidence").alias("entity"))
 
@@ -357,4 +357,4 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
     """
     members = cut(entity_members(spark.read.parquet(f"{sf_dir}/candidates.parquet")))
     other = members.select("entity", F.col("id").alias("candidate_b"))
-    return members.select("entity", F.col("id").alias("candidate_a")).join(other, "entity").filter("candidate_a < candidate_b").select("candidate_a", "candidate_b").distinct()
+    return members.select("entity", F.col("id").alias("candidate_a")).join(other.hint("merge"), "entity").filter("candidate_a < candidate_b").select("candidate_a", "candidate_b").distinct()

@@ -33,7 +33,7 @@ def test_positions_defined_cases(spark):
 SQUARE = [[[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0], [0.0, 0.0]], [[4.0, 4.0], [6.0, 4.0], [6.0, 6.0], [4.0, 6.0], [4.0, 4.0]]]
 
 
-def test_inside_edge_hole(spark):
+def test_inside_edge_hole(spark, monkeypatch):
     areas = spark.createDataFrame([("sq", [SQUARE]), ("sq", [SQUARE]), ("none", None), ("flat", [[[[0.0, 0.0], [1.0, 1.0]]]])], "area_key string, coordinates array<array<array<array<double>>>>")
     cases = {"in": (2.0, 2.0, "inside"), "edge": (5.0, 0.0, "boundary"), "corner": (0.0, 0.0, "boundary"), "out": (5.0, -1.0, "outside"), "hole": (5.0, 5.0, "outside"), "rim": (5.0, 4.0, "boundary")}
     pts = spark.createDataFrame([(k, "sq", a, o) for k, (a, o, _) in cases.items()], "key string, area string, lat double, lon double")
@@ -41,7 +41,9 @@ def test_inside_edge_hole(spark):
     want = {k for k, v in cases.items() if v[2] != "outside"}
     assert {r.key for r in geo.points_in_areas(pts.select("key", "lat", "lon"), areas).collect()} == want
     scaled = pts.select("key", geo._scaled("lon").alias("px"), geo._scaled("lat").alias("py"))
-    assert {r.key for r in geo._by_tile(scaled, geo.area_triangles(areas)).collect()} == want
+    for rows in (geo.TILE_ROWS, 1):
+        monkeypatch.setattr(geo, "TILE_ROWS", rows)
+        assert sorted(r.key for r in geo._by_tile(scaled, geo.area_triangles(areas)).collect()) == sorted(want)
 
 
 @settings(max_examples=60, deadline=None)

@@ -30,6 +30,8 @@ SCALE = 10**7
 LEAF_TRIANGLES = 8
 #: Up to this many triangles (56 bytes each) every task gets the whole hierarchy; beyond it triangles are shuffled by tile.
 TREE_TRIANGLES = 200_000
+#: Points or triangles of a tile that one task takes at a time beyond that.
+TILE_ROWS = 100_000
 #: Degrees of a tile of the shuffled way.
 TILE_DEG = 0.25
 
@@ -296,16 +298,28 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: str = "area_key",
 
 
 def _by_tile(scaled: DataFrame, triangles: DataFrame) -> DataFrame:
-    """The shuffled way: triangles are copied to the tiles their boxes touch and met there by the points."""
+    """The shuffled way: triangles are copied to the tiles their boxes touch, and each tile's points go through its hierarchy.
+
+    Points and triangles of a full tile are dealt into parts of about ``TILE_ROWS``, of which every part of one side meets
+    every part of the other, so that no task holds more.
+    """
     tile = int(TILE_DEG * SCALE)
     low = lambda *c: F.floor(F.least(*c) / tile)
     high = lambda *c: F.floor(F.greatest(*c) / tile)
     laid = triangles.withColumn("tx", F.explode(F.sequence(low("x1", "x2", "x3"), high("x1", "x2", "x3")))).withColumn("ty", F.explode(F.sequence(low("y1", "y2", "y3"), high("y1", "y2", "y3"))))
-    met = scaled.withColumn("tx", F.floor(F.col("px") / tile)).withColumn("ty", F.floor(F.col("py") / tile)).join(laid, ["tx", "ty"])
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    for a, b in (("1", "2"), ("2", "3"), ("3", "1")):
-        met = met.filter((wide(f"x{b}") - wide(f"x{a}")) * (wide("py") - wide(f"y{a}")) - (wide(f"y{b}") - wide(f"y{a}")) * (wide("px") - wide(f"x{a}")) >= 0)
-    return met.select("key", "area").distinct()
+    placed = scaled.withColumn("tx", F.floor(F.col("px") / tile)).withColumn("ty", F.floor(F.col("py") / tile))
+    parts = lambda df, name: df.groupBy("tx", "ty").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("long").alias(name))
+    full = parts(placed, "points").join(parts(laid, "shapes"), ["tx", "ty"])
+    dealt = lambda df, own, other, *by: df.join(full, ["tx", "ty"]).withColumn(own[0], F.pmod(F.xxhash64(*by), F.col(own))).withColumn(other[0], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+    at = ["tx", "ty", "p", "s"]
+    points = dealt(placed, "points", "shapes", "key", "px", "py").select(*at, "key", "px", "py")
+    shapes = dealt(laid, "shapes", "points", "area", *_CORNERS).select(*at, "area", *_CORNERS)
+
+    def look_up(where: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
+        who, which = TriangleTree(shape[_CORNERS].to_numpy(np.int64).reshape(-1, 6)).hits(where["px"].to_numpy(np.int64), where["py"].to_numpy(np.int64))
+        return pd.DataFrame({"key": where["key"].to_numpy()[who], "area": shape["area"].to_numpy()[which]}, dtype=object).drop_duplicates()
+
+    return points.groupBy(*at).cogroup(shapes.groupBy(*at)).applyInPandas(look_up, "key string, area string").distinct()
 
 
 def crosses_itself(ring) -> bool:

@@ -106,5 +106,6 @@ select k as field_key, 'observed' as state, n::bigint as n from g union all sele
     "boundary_scan": "select area_key, geometry_type, len(flatten(flatten(coordinates)))::int as positions, null::varchar as issue from market_areas",
     "page_contacts": """select distinct candidate_id as record_id, 'phone' as kind, v as text from (select candidate_id, unnest(phones) as v from candidates) where regexp_full_match(v, '\\+[0-9]+')
 union select distinct candidate_id, 'email', v from (select candidate_id, unnest(emails) as v from candidates) where regexp_full_match(v, '[a-z0-9.\\-]+@[a-z0-9.\\-]+\\.[a-z]+')""",
+    "page_links": """select distinct website_urls[1] as url, website_urls[1] as link, 10 as score, 'root' as key, 1 as rank from candidates where regexp_full_match(website_urls[1], 'https://[a-z0-9.\\-]+/')""",
     "robots_rules": "select 'https://' || replace(source_key, '_', '-') || '.example/robots.txt' as url, trust_rank <= 4 as allowed, trust_rank::double as crawl_delay, null::varchar as issue from source_bindings",
 }

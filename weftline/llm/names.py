@@ -420,12 +420,11 @@ def core_neighbours(words: DataFrame) -> DataFrame:
     """``core``, ``other`` and ``d`` for every two different words (``core``) within the allowed edits, both ways.
 
     Words travel as numbers and deletion strings as hashes; what meets is checked exactly by its text. The index is
-    written once and joined with itself by merging.
+    joined with itself by merging.
     """
     text = written(spread(words.select("core").distinct()).withColumn("id", F.xxhash64("core")))
     short, long_ = text.filter(F.length("core") <= LONGEST), text.filter(F.length("core") > LONGEST)
     index = short.select("id", F.explode(_cuts(F.col("core"))).alias("cut")).unionByName(long_.select("id", F.explode(F.transform(_pieces("core"), lambda x: F.xxhash64(x))).alias("cut")))
-    index = written(index)
     met = index.join(index.select(F.col("id").alias("id2"), "cut").hint("merge"), "cut").filter("id < id2").select("id", "id2").distinct()
     pairs = met.join(text.hint("merge"), "id").join(text.select(F.col("core").alias("other"), F.col("id").alias("id2")).hint("merge"), "id2").select("core", "other")
     # two edits with swaps are up to four without, but then the letters are nearly the same

@@ -46,3 +46,8 @@ def test_pairs_against_all_pairs(spark, monkeypatch, block):
     assert len(got) == len(set(got)) and set(got) == want
     got = [tuple(r) for r in resolve.candidate_pairs(df, decision(spark, *[(a, b, "match") for a, b in told]), None).collect()]
     assert len(got) == len(set(got)) and set(got) == want | {tuple(sorted((cid(a), cid(b)))) for a, b in told}
+
+
+def test_dispositions_beyond_a_million(spark, crowd):
+    got = resolution.er_dispositions(spark, crowd).agg(F.count(F.lit(1)), F.count_if(F.col("disposition") == "review_required"), F.min("name_similarity_bps"), F.max("evidence_strength")).first()
+    assert got == (PAIRS, PAIRS, 6000, 10000)

@@ -51,3 +51,20 @@ def test_pairs_against_all_pairs(spark, monkeypatch, block):
 def test_dispositions_beyond_a_million(spark, crowd):
     got = resolution.er_dispositions(spark, crowd).agg(F.count(F.lit(1)), F.count_if(F.col("disposition") == "review_required"), F.min("name_similarity_bps"), F.max("evidence_strength")).first()
     assert got == (PAIRS, PAIRS, 6000, 10000)
+
+
+def test_features_beyond_a_million(spark, crowd):
+    got = resolution.er_pair_features(spark, crowd).agg(F.count(F.lit(1)), F.count_if("name_only"), F.min("name_similarity_bps"), F.max("source_overlap_count")).first()
+    assert got == (PAIRS, PAIRS, 6000, 1)
+
+
+def test_block_features_are_those_of_the_pairs(spark):
+    """Several values, none and null ones on either side, decided pairs included."""
+    rows = [row(1, "alpha studio", ["1", "2"], addresses=["a street 1", "b street 2"]), row(2, "alpha rooms", ["2"], addresses=["b street 2"]), row(3, "alphorn", ["3"], coverage="outside"), row(4, "beta", ["1"], kind="provider")]
+    rows += [(cid(5), "place", [None], None, ["x@y"], None, None, None, None, None, None), (cid(6), "place", ["beta", None], [], ["x@y"], [], [], [], [], ["source_1"], None)]
+    df = batch(spark, rows)
+    told = decision(spark, (1, 2, "match"), (6, 3, "separate"))
+    want = resolve.pair_features(resolve.candidate_pairs(df, told), df)
+    got = resolve.block_features(df, told)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 6
+    assert got.filter(F.col("pair_id") != resolve.identity.pair_id(F.col("left_candidate_id"), F.col("right_candidate_id"))).isEmpty()

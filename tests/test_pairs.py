@@ -68,3 +68,15 @@ def test_block_features_are_those_of_the_pairs(spark):
     got = resolve.block_features(df, told)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 6
     assert got.filter(F.col("pair_id") != resolve.identity.pair_id(F.col("left_candidate_id"), F.col("right_candidate_id"))).isEmpty()
+
+
+def test_snapshot_beyond_the_limits(spark, crowd):
+    assert resolution.snapshot_violations(spark, crowd).count() == 0
+
+
+def test_snapshot_without_limits(spark):
+    rows = batch(spark, [row(1, "one", ["1"]), row(2, "two", ["1", "2"]), row(3, "three", ["2", "3"]), row(4, "four", ["3"])])
+    told = decision(spark, (1, 3, "separate"), (2, 4, "separate"), (1, 4, "match"))
+    kept, free = (resolve.resolve(rows, told, t=t) for t in (resolve.Thresholds(), resolve.Thresholds(candidate_limit=None, pair_limit=None)))
+    for part in ("pairs", "blocked_edges", "clusters", "diagnostics"):
+        assert sorted(map(str, getattr(free, part).collect())) == sorted(map(str, getattr(kept, part).collect())), part

@@ -80,3 +80,31 @@ def test_snapshot_without_limits(spark):
     kept, free = (resolve.resolve(rows, told, t=t) for t in (resolve.Thresholds(), resolve.Thresholds(candidate_limit=None, pair_limit=None)))
     for part in ("pairs", "blocked_edges", "clusters", "diagnostics"):
         assert sorted(map(str, getattr(free, part).collect())) == sorted(map(str, getattr(kept, part).collect())), part
+
+
+def copied(spark):
+    """Copies whose ids lie between those of others, ids that JSON escapes, and a candidate of two different rows."""
+    rows = [row(n, ("alpha studio", "alphorn sound", "alpha studio", "beta")[n % 4], ["1"] if n % 4 == 3 else []) for n in range(23)]
+    rows = [(('q"' if n % 5 == 0 else "\n" if n % 7 == 0 else "") + r[0], *r[1:9], ["source"], ("inside" if n % 3 else "outside",)) for n, r in enumerate(rows)]
+    return batch(spark, [*rows, rows[3], (rows[4][0], *row(4, "beta", ["1"])[1:9], ["source"], ("inside",))])
+
+
+@pytest.mark.parametrize("copies", [1, 2, resolve.COPIES])
+def test_dispositions_of_copies(spark, monkeypatch, copies):
+    """Copies are compared once, by whatever number they are held in a row, and every pair comes out once."""
+    monkeypatch.setattr(resolve, "COPIES", copies)
+    df = copied(spark)
+    keys = {}
+    for r in resolve.block_keys(df).collect():
+        keys.setdefault(r.candidate_id, set()).add(r.key)
+    got = resolve.block_dispositions(df).collect()
+    pairs = [(r.left_candidate_id, r.right_candidate_id) for r in got]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a, b in itertools.combinations(sorted(keys), 2) if keys[a] & keys[b]}
+    one = df.filter(~F.col("candidate_id").contains(cid(4)))  # features of several rows are those of any of them
+    made = spark.createDataFrame([p for p in pairs if not any(cid(4) in e for e in p)], "left_candidate_id string, right_candidate_id string")
+    want = resolve.dispositions(resolve.pair_features(made, one))
+    assert sorted(map(str, resolve.block_dispositions(one).collect())) == sorted(map(str, want.collect()))
+
+
+def test_copies_meet_once(spark, crowd):
+    assert resolve._meetings(resolution._parts(spark, crowd), True).count() <= 9

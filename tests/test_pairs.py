@@ -108,3 +108,10 @@ def test_dispositions_of_copies(spark, monkeypatch, copies):
 
 def test_copies_meet_once(spark, crowd):
     assert resolve._meetings(resolution._parts(spark, crowd), True).count() <= 9
+
+
+def test_features_once_for_copies(spark, monkeypatch, crowd):
+    """Three names make at most nine rows of features, whatever the number of their copies."""
+    monkeypatch.setattr(resolve, "_expanded", lambda met: met)
+    monkeypatch.setattr(resolve, "_identified", lambda rows: rows)
+    assert resolve.block_features(resolution._parts(spark, crowd)).count() <= 9

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_resolve import batch, cid, decision, row
-from weftline.operators import resolve
+from weftline.operators import candidates, resolve
 from weftline.plans import resolution
 
 
@@ -115,3 +115,26 @@ def test_features_once_for_copies(spark, monkeypatch, crowd):
     monkeypatch.setattr(resolve, "_expanded", lambda met: met)
     monkeypatch.setattr(resolve, "_identified", lambda rows: rows)
     assert resolve.block_features(resolution._parts(spark, crowd)).count() <= 9
+
+
+def test_snapshot_compares_copies_once(spark, crowd):
+    """What is asked of the dispositions of a snapshot is asked before its pairs are made."""
+    snap = resolve.resolve(resolution._parts(spark, crowd), t=resolve.Thresholds(candidate_limit=None, pair_limit=None))
+    plan = snap.pairs.filter("disposition = 'review_required'")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = max(n for n, line in enumerate(plan) if "Generate inline(left_ids" in line)
+    assert any("review_required" in line for line in plan[made:]) and not any("Filter" in line and "review_required" in line for line in plan[:made])
+
+
+def test_faults_of_a_snapshot(spark):
+    df = copied(spark)
+    snap = resolve.resolve(df, t=resolve.Thresholds(candidate_limit=None, pair_limit=None))
+    found = lambda pairs: {(r.rule, r.n) for r in candidates.snapshot_violations(pairs, snap.clusters, df).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pairs = snap.pairs.localCheckpoint()
+    n = pairs.count()
+    quoted = F.concat(F.lit('["'), "left_candidate_id", F.lit('","'), "right_candidate_id", F.lit('"]'))
+    odd = pairs.filter(F.col("pair_id") != resolve.identity.digest(quoted)).count()
+    assert not found(pairs) and 0 < odd < n
+    assert found(pairs.withColumn("pair_id", resolve.identity.digest(quoted))) == {("pair_id", odd)}
+    assert found(pairs.withColumn("evidence_strength", F.lit(-1)).withColumn("name_similarity_bps", F.lit(None).cast("int"))) == {("strength_range", n), ("similarity_range", n)}
+    turned = pairs.select("*", F.col("right_candidate_id").alias("l"), F.col("left_candidate_id").alias("r")).drop("left_candidate_id", "right_candidate_id").withColumnsRenamed({"l": "left_candidate_id", "r": "right_candidate_id"})
+    assert found(turned) == {("ends_in_order", n)}
